@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op3_byte_bpe
+from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .media import op2_media
 from .packing import op10_packing
+from .quality import op5_quality
+from .secrets import OP1_SQL, op1_secrets
 from .token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_media": op2_media,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality": op5_quality,
     "op7_token_counts": op7_token_counts,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_secrets": OP1_SQL, "op4_exact_dedup": OP4_SQL}
