@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op3_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .language_model import op8_language_model
 from .media import op2_media
 from .packing import op10_packing
 from .quality import op5_quality
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
     "op7_token_counts": op7_token_counts,
+    "op8_language_model": op8_language_model,
     "op10_packing": op10_packing,
 }
 
