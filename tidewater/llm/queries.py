@@ -11,6 +11,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_model import op8_language_model
 from .media import op2_media
 from .packing import op10_packing
+from .pii import op9_pii
 from .quality import op5_quality
 from .secrets import OP1_SQL, op1_secrets
 from .token_counts import op7_token_counts
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op7_token_counts": op7_token_counts,
     "op8_language_model": op8_language_model,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 
