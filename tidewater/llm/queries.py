@@ -10,6 +10,7 @@ from .byte_bpe import op3_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_model import op8_language_model
 from .media import op2_media
+from .near_dedup import op6_near_dedup
 from .packing import op10_packing
 from .pii import op9_pii
 from .quality import op5_quality
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
+    "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_language_model": op8_language_model,
     "op9_pii": op9_pii,
