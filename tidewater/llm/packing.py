@@ -17,7 +17,9 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,12 @@ from .base import map_batches, plus, read_table, texts_of, tokenizer_path, writt
 from .word_bpe import WordCache
 
 VOCABULARY = "word_bpe_49k.json"
-#: Rows that a bucket of one length holds, about.
-BUCKET_ROWS = 50_000
+#: Rows of the table for each bucket: one length has at most about so many rows in a bucket.
+BUCKET_ROWS = 4_000
+
+
+def two_bytes(ids: list[int]) -> bytes:
+    return array("H", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u2").tobytes()
 
 
 def token_table(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, window: int) -> DataFrame:
@@ -37,19 +43,19 @@ def token_table(df: DataFrame, id_col: str, text_col: str, path: str, end_id: in
     docs = texts_of(df, id_col, text_col)
 
     def make():
-        cache = WordCache(path, lambda ids: np.array(ids, "<u2").tobytes())
+        cache = WordCache.held(path, two_bytes)
         end = np.array([end_id], "<u2").tobytes()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column("text").to_pylist()
-            get = cache.__getitem__
-            ids = [cache.value(cache.ids_of([text])[0]) + end if words is None else b"".join(map(get, words)) + end for text, words in zip(texts, cache.words(texts))]
+            values, split = cache.words(texts)
+            ids = [cache.value(cache.ids_of([text])[0]) + end if words is None else b"".join(map(values.__getitem__, words)) + end for text, words in zip(texts, split)]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n), pa.array((n % window).astype(np.int32))], names=["doc_id", "ids", "n", "r"])
 
         return one
 
-    return map_batches(docs, make, plus(docs.select("doc_id"), "ids binary, n long, r int"))
+    return map_batches(docs, make, plus(docs.select("doc_id"), "ids binary, n long, r int"), rows=128)
 
 
 def combinations(present: np.ndarray, window: int) -> np.ndarray:

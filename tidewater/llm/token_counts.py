@@ -41,13 +41,13 @@ def frequent_lengths(path: str) -> tuple[np.ndarray, np.ndarray]:
 class LengthCache(WordCache):
     """word -> number of tokens: the broadcast table for its pre-tokens, then the tokenizer."""
 
-    def __init__(self, path: str, table: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, path: str):
         super().__init__(path, len)
-        self.frequent = dict(zip(table[0].tolist(), table[1].tolist()))
+        self.frequent: dict[int, int] = {}
 
-    def learn(self, missing: list[str]) -> None:
+    def encode(self, words: list[str]) -> None:
         rest = []
-        for word in missing:
+        for word in words:
             total = 0
             if word.isascii():
                 for part in LATIN.findall(word):
@@ -59,7 +59,7 @@ class LengthCache(WordCache):
                     self[word] = total
                     continue
             rest.append(word)
-        super().learn(rest)
+        super().encode(rest)
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -69,18 +69,20 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = df.sparkSession.sparkContext.broadcast(frequent_lengths(path))
 
     def make():
-        cache = LengthCache(path, table.value)
+        cache = LengthCache.held(path)
+        if not cache.frequent:
+            cache.frequent = dict(zip(*(a.tolist() for a in table.value)))
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column("text").to_pylist()
-            get = cache.__getitem__
-            n = [len(cache.ids_of([text])[0]) if words is None else sum(map(get, words)) for text, words in zip(texts, cache.words(texts))]
+            values, split = cache.words(texts)
+            n = [len(cache.ids_of([text])[0]) if words is None else sum(map(values.__getitem__, words)) for text, words in zip(texts, split)]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
         return one
 
     docs = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return map_batches(docs, make, plus(docs.select("doc_id", "n_bytes"), "n_tokens long"))
+    return map_batches(docs, make, plus(docs.select("doc_id", "n_bytes"), "n_tokens long"), rows=128)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:

@@ -1,7 +1,8 @@
 """Ids of a word-level BPE by way of a cache of words, exactly as the tokenizers library gives them.
 
 The tokenizer maps white space to one space, drops it between pre-tokens and never merges across it. So the ids of a
-text are those of its words, one after the other, and each word need only be encoded once a worker.
+text are those of its words, one after the other, and each word need only be encoded once a worker. A word that ends in
+punctuation after a letter or number is two such parts, since a pre-token never has both.
 """
 
 from __future__ import annotations
@@ -11,26 +12,45 @@ import re
 from .base import word_tokenizer
 
 #: str.split() also splits at these, the tokenizer doesn't; and special strings are looked for before the words are.
-ODD = re.compile("[\x1c-\x1f]|<\\|(?:startoftext|endoftext)\\|>")
+CONTROL = re.compile("[\x1c-\x1f]")
+SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+#: Punctuation that can be taken off a word's end. An apostrophe can't, as it may begin a pre-token of its own.
+TRAILING = ".,;:!?|*%&#$)\""
+#: Caches of this worker, by name: they outlive a task.
+_held: dict[tuple, WordCache] = {}
 
 
 class WordCache(dict):
-    """word -> what `value` makes of its ids. Cleared when it has `limit` words, so a worker's memory is bounded."""
+    """word -> what `value` makes of its ids; values of parts add up to those of a word.
 
-    def __init__(self, path: str, value, limit: int = 600_000):
+    When it has `limit` words the later half goes: frequent words come early. So a worker's memory is bounded.
+    """
+
+    def __init__(self, path: str, value, limit: int = 1_500_000):
         self.tokenizer, self.value, self.limit = word_tokenizer(path), value, limit
 
+    @classmethod
+    def held(cls, *args):
+        """The worker's cache for these arguments."""
+        if (cls, *args) not in _held:
+            _held[cls, *args] = cls(*args)
+        return _held[cls, *args]
+
     def ids_of(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, texts: list[str]) -> list[list[str] | None]:
-        """The words of each text, all of them in the cache afterwards; None for a text that only the library can split."""
+    def words(self, texts: list[str]) -> tuple[dict, list[list[str] | None]]:
+        """The values of all words of these texts, and the words of each; None for a text that only the library can split.
+
+        The words of a few texts are a table that stays in the processor's cache, as this one doesn't.
+        """
         out: list[list[str] | None] = []
-        missing: dict[str, None] = {}
+        seen: set[str] = set()
         if len(self) > self.limit:
-            self.clear()
+            for word in list(self)[self.limit // 2 :]:
+                del self[word]
         for text in texts:
-            if ODD.search(text):
+            if CONTROL.search(text) or "<|" in text and SPECIAL.search(text):
                 out.append(None)
                 continue
             # Lower case is the same for Python and the tokenizer in Latin-1; it makes fewer words.
@@ -41,11 +61,28 @@ class WordCache(dict):
                 pass
             words = text.split()
             out.append(words)
-            missing.update(dict.fromkeys(w for w in words if w not in self))
-        self.learn(list(missing))
-        return out
+            seen.update(words)
+        some = {w: self.get(w) for w in seen}
+        if missing := [w for w, value in some.items() if value is None]:
+            self.learn(missing)
+            some.update((w, self[w]) for w in missing)
+        return some, out
 
     def learn(self, missing: list[str]) -> None:
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
+        parts, new = [], {}
+        for word in missing:
+            stem = word.rstrip(TRAILING)
+            if stem and stem != word and stem[-1].isalnum() and stem.isascii():
+                end = word[len(stem) :]
+                parts.append((word, stem, end))
+                new.update(((p, None) for p in (stem, end) if p not in self))
+            else:
+                new[word] = None
+        self.encode(list(new))
+        for word, stem, end in parts:
+            self[word] = self[stem] + self[end]
+
+    def encode(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
             self.update(zip(some, map(self.value, self.ids_of(some))))
