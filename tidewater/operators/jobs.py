@@ -91,20 +91,20 @@ def escalations(found: DataFrame, key: list[str], value: str, within: int) -> Da
 
 def windowed(df: DataFrame, ts: str, length: str, slide: str | None, keys: list[str], *aggs: Column) -> DataFrame:
     """Aggregates by tumbling or sliding window and keys: start_ms, end_ms, keys, aggregates."""
-    w = F.window(F.col(ts).cast("timestamp"), length, slide) if slide else F.window(F.col(ts).cast("timestamp"), length)
+    w = F.window(F.col(ts), length, slide) if slide else F.window(F.col(ts), length)
     out = df.groupBy(w.alias("__w"), *keys).agg(*aggs)
     return out.select(F.unix_millis("__w.start").alias("start_ms"), F.unix_millis("__w.end").alias("end_ms"), *(c for c in out.columns if c != "__w"))
 
 
 def sessions(df: DataFrame, ts: str, gap: str, keys: list[str], *aggs: Column) -> DataFrame:
     """Aggregates by session: events of a key that are at most the gap apart."""
-    out = df.groupBy(F.session_window(F.col(ts).cast("timestamp"), gap).alias("__w"), *keys).agg(*aggs)
+    out = df.groupBy(F.session_window(F.col(ts), gap).alias("__w"), *keys).agg(*aggs)
     return out.select(F.unix_millis("__w.start").alias("start_ms"), F.unix_millis("__w.end").alias("end_ms"), *(c for c in out.columns if c != "__w"))
 
 
 def window_join(left: DataFrame, right: DataFrame, key: str, ts: str, length: str) -> DataFrame:
     """Pairs of a key within one tumbling window; of columns that both have, the right one's value stays."""
-    w = F.window(F.col(ts).cast("timestamp"), length)
+    w = F.window(F.col(ts), length)
     a = left.select(F.col(key).alias("__k"), w.alias("__w"), F.struct(*left.columns).alias("__a"))
     b = right.select(F.col(key).alias("__k"), w.alias("__w"), F.struct(*right.columns).alias("__b"))
     both = a.join(b, ["__k", "__w"])
