@@ -225,8 +225,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) of pairs with a similarity of at least threshold. A node's vector goes once to each share of its pairs."""
     share = F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")
-    counted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "a")
-    heads = counted.select("a", "shares").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    shares = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "near-shares")
+    counted = pairs.join(shares, "a")
+    heads = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     own = heads.join(vectors, F.col("a") == F.col("node")).select("a", "share", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("b"), "h", "w")
     other = counted.withColumn("share", share).join(vectors, F.col("b") == F.col("node")).select("a", "share", F.lit(1).alias("kind"), "b", "h", "w")
 
