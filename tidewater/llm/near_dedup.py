@@ -150,7 +150,7 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
     out = np.zeros((len(starts), SAMPLES), np.uint32)
     low = np.uint64(0xFFFF)
     for k in range(SAMPLES):
-        u = _mixed(h ^ (np.uint64(k + 1) * ODD))
+        u = _mixed(h ^ np.uint64((k + 1) * int(ODD) % (1 << 64)))
         r = (u & low).astype(np.int64)
         beta = ((u >> np.uint64(32)) & low).astype(np.float32) * np.float32(1 / 65536)
         t = np.floor(log_w * inverse_of[r] + beta)
