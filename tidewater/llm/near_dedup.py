@@ -267,7 +267,8 @@ def block_pairs(rest: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of members of one bucket, of different classes, that agree in at least AGREE samples.
 
     rest: (key, n, node, class, sample). A bucket is cut into blocks of about BLOCK members; each pair of blocks is one
-    group, compared as matrices. best: only the best pair of any two classes.
+    group, compared as matrices. A pair that is in several buckets is made in the one of its first common band alone.
+    best: only the best pair of any two classes.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -275,7 +276,7 @@ def block_pairs(rest: DataFrame, best: bool) -> DataFrame:
     spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "class", "sample").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(group: tuple, members: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        _, i, j = group
+        key, i, j = group
         left = [m for m in members if m[0] == i]
         right = members if i == j else [m for m in members if m[0] == j]
         if not left or not right:
@@ -283,8 +284,14 @@ def block_pairs(rest: DataFrame, best: bool) -> DataFrame:
         b = np.stack([np.frombuffer(m[3], np.uint32) for m in right])
         seen: dict[tuple, tuple] = {}
         for m in left:
-            agree = np.count_nonzero(b == np.frombuffer(m[3], np.uint32), axis=1)
-            for at in np.flatnonzero(agree >= AGREE).tolist():
+            equal = b == np.frombuffer(m[3], np.uint32)
+            agree = np.count_nonzero(equal, axis=1)
+            near = np.flatnonzero(agree >= AGREE)
+            if not len(near):
+                continue
+            own = band_keys(np.frombuffer(m[3], np.uint32))[0]
+            first = equal[near].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            for at in near[own[first] == key].tolist():
                 x, y = sorted((m, right[at]), key=lambda z: z[1])
                 if x[2] == y[2] or i == j and m is y:
                     continue
