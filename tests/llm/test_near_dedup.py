@@ -103,3 +103,33 @@ def test_edges_and_empty(spark, edges, empty):
     assert by[1] == by[2] == by[3] == 1 and by[4] == by[5] == 4 and by[None] is None
     assert Counter(r.class_id for r in got if r.kept) == Counter({r.class_id for r in got})
     assert nd.near_classes(empty).count() == 0
+
+
+def edited(words, places, name):
+    own = list(words)
+    for p in places:
+        own[p] = f"{name}_{p}"
+    return own
+
+
+def hubs(groups, satellites=6):
+    """Texts of 319 words around a hub that is the head of their buckets: only the first two are alike, at 0.8 exactly, the hub is at 0.775 at most to all."""
+    rnd, texts = random.Random(11), []
+    for g in range(groups):
+        hub = [f"h{g}_{i}" for i in range(319)]
+        places = [8 + 12 * i for i in range(25)]
+        rnd.shuffle(places)
+        common = edited(hub, places[:5], f"c{g}")
+        texts += [edited(common, places[5:9], f"a{g}"), edited(common, places[9:12], f"b{g}"), hub]
+        texts += [edited(hub, rnd.sample(places[12:], 8), f"s{g}_{k}") for k in range(satellites)]
+    return [" ".join(t) for t in texts]
+
+
+def test_members_that_no_head_joins_are_all_compared(spark):
+    groups, each = 150, 9
+    texts = hubs(groups)
+    sets = [shingle_set(t) for t in texts[:each]]
+    assert [(a, b) for b in range(each) for a in range(b) if jaccard(sets[a], sets[b]) >= 0.8] == [(0, 1)]
+    got = {r.doc_id: r.class_id for r in nd.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[each * g] == got[each * g + 1] for g in range(groups))
+    assert len(set(got.values())) == groups * (each - 1)

@@ -8,11 +8,10 @@ shingles are frequent.
 
 Texts alike in their words are one node. Each node has SAMPLES consistent weighted samples; BANDS bands of ROWS samples
 are its buckets. In a bucket, all are compared with the most central member, the one with most others in its buckets.
-Members that this leaves in different classes are compared by their samples, block by block; pairs that agree in at
-least AGREE of them, first the best of any two classes, then all the rest, are verified too. To verify is to compute
-the weighted Jaccard similarity of both shingle vectors, which are sent once for each share of a member's pairs; a pair
-is linked if it, or the plain Jaccard similarity, is 0.8 or more (the latter so that weights can't undo a link in a large
-group). Classes are the connected components of the links, by label propagation with pointer jumping.
+Every pair of members that this leaves in different classes is verified too, block by block, by products of matrices.
+To verify is to compute the weighted Jaccard similarity of both shingle vectors; a pair is linked if it, or the plain
+Jaccard similarity, is 0.8 or more (the latter so that weights can't undo a link in a large group). Classes are the
+connected components of the links, by label propagation with pointer jumping.
 
 Defined results: null and empty texts are one class, as equal texts are. A class's id is the smallest doc_id in it, null
 if none of its rows has one; kept marks one row of each class, with that id. Equal rows are one class. Other columns are
@@ -35,13 +34,11 @@ from .base import map_batches, plus, read_table, texts_of, written
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 19, 5
 SAMPLES = BANDS * ROWS
-#: Agreeing samples below which a pair is not verified: at a similarity of 0.8 the expected number is 76, and 67 is 2.3 deviations less.
-AGREE = 67
 #: Width and depth of the sketch, which is all that is sent to the driver and to all workers: 8 MB.
 WIDTH, DEPTH, CHUNK = 1 << 19, 2, 1 << 14
 IDF_GAIN = 0.2
-#: Members of a bucket in a block, and pairs of one node that are verified in one task.
-BLOCK, SHARE = 256, 256
+#: Members of a bucket in a block, and pairs of one node that are verified in one task; columns of a block that are held at once.
+BLOCK, SHARE, COLUMNS = 256, 256, 4096
 #: Nodes whose texts are fetched by a broadcast of their digests (16 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -169,7 +166,7 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, node, sample, keys) of (doc_id, node, text); a text without words has no keys."""
+    """(doc_id, node, keys) of (doc_id, node, text); a text without words has no keys."""
 
     def make():
         cache = HashCache()
@@ -177,18 +174,17 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(t, cache) for t in batch.column("text").to_pylist()]
             some = [i for i, (h, _) in enumerate(sets) if len(h)]
-            blobs, keys = [b""] * len(sets), [[]] * len(sets)
+            keys = [[]] * len(sets)
             if some:
                 h, tf = (np.concatenate([sets[i][j] for i in some]) for j in (0, 1))
                 starts = np.cumsum([0, *(len(sets[i][0]) for i in some[:-1])])
-                sample = samples(h, weights(h, tf, idf.value), starts)
-                for i, s, k in zip(some, sample, band_keys(sample).tolist()):
-                    blobs[i], keys[i] = s.tobytes(), k
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(blobs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "sample", "keys"])
+                for i, k in zip(some, band_keys(samples(h, weights(h, tf, idf.value), starts)).tolist()):
+                    keys[i] = k
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
 
         return one
 
-    return map_batches(docs, make, plus(docs.select("doc_id", "node"), "sample binary, keys array<long>"), rows=256)
+    return map_batches(docs, make, plus(docs.select("doc_id", "node"), "keys array<long>"), rows=256)
 
 
 def vectors(docs: DataFrame, idf) -> DataFrame:
@@ -263,44 +259,77 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "class")
 
 
-def block_pairs(rest: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of members of one bucket, of different classes, that agree in at least AGREE samples.
+def block_similarity(left: list[tuple], right: list[tuple]) -> np.ndarray:
+    """similarity() of each of left with each of right, lists of vectors (h, w), but for rounding.
 
-    rest: (key, n, node, class, sample). A bucket is cut into blocks of about BLOCK members; each pair of blocks is one
-    group, compared as matrices. A pair that is in several buckets is made in the one of its first common band alone.
-    best: only the best pair of any two classes.
+    A shingle has a column for each weight that it has in the block, in which all have a one who have at least that
+    weight: the smaller of two weights is a sum over the columns that both have, and one column is the plain set.
+    """
+    sizes = [len(h) for h, _ in left + right]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    pair = np.empty(len(row), [("h", np.uint64), ("w", np.float32)])
+    pair["h"], pair["w"] = (np.concatenate([v[k] for v in left + right]) for k in (0, 1))
+    kinds, kind = np.unique(pair, return_inverse=True)
+    begins = np.flatnonzero(np.r_[True, kinds["h"][1:] != kinds["h"][:-1]])
+    level = np.arange(len(kinds)) - np.repeat(begins, np.diff(np.r_[begins, len(kinds)]))
+    gain = kinds["w"].astype(np.float64)
+    gain[level > 0] -= kinds["w"][:-1].astype(np.float64)[level[1:] > 0]
+    more = level[kind] + 1
+    rows, columns = np.repeat(row, more), np.repeat(kind - level[kind], more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    held = np.bincount(columns, minlength=len(kinds)) > 1
+    use = held[columns]
+    rows, columns = rows[use], (np.cumsum(held) - 1)[columns[use]]
+    gain, plain = gain[held], (level == 0)[held]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    n, m = len(left), len(right)
+    weight, count = np.zeros((n, m)), np.zeros((n, m))
+    for at in range(0, len(gain), COLUMNS):
+        low, high = np.searchsorted(columns, (at, at + COLUMNS))
+        ones = np.zeros((n + m, min(COLUMNS, len(gain) - at)))
+        ones[rows[low:high], columns[low:high] - at] = 1
+        part = slice(at, at + COLUMNS)
+        weight += (ones[:n] * gain[part]) @ ones[n:].T
+        count += ones[:n, plain[part]] @ ones[n:, plain[part]].T
+    total = np.array([w.sum(dtype=np.float64) for _, w in left + right])
+    size = np.array(sizes, np.float64)
+    return np.maximum(weight / (total[:n, None] + total[n:] - weight), count / (size[:n, None] + size[n:] - count))
+
+
+def block_links(rest: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members of one bucket that are of different classes: enough of them to join all that are linked.
+
+    rest: (key, n, node, class, h, w). A bucket is cut into blocks of about BLOCK members; each pair of blocks is one
+    group, in which every pair of members of different classes is compared by its vectors, until their classes are one.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = rest.select("key", "node", "class", "sample", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "class", "sample").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    spread = rest.select("key", "node", "class", "h", "w", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "class", "h", "w").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(group: tuple, members: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        key, i, j = group
+        _, i, j = group
         left = [m for m in members if m[0] == i]
-        right = members if i == j else [m for m in members if m[0] == j]
-        if not left or not right:
+        right = [m for m in members if m[0] == j]
+        names = {c: k for k, c in enumerate(dict.fromkeys(m[2] for m in members))}
+        if not left or not right or len(names) < 2:
             return
-        b = np.stack([np.frombuffer(m[3], np.uint32) for m in right])
-        seen: dict[tuple, tuple] = {}
-        for m in left:
-            equal = b == np.frombuffer(m[3], np.uint32)
-            agree = np.count_nonzero(equal, axis=1)
-            near = np.flatnonzero(agree >= AGREE)
-            if not len(near):
-                continue
-            own = band_keys(np.frombuffer(m[3], np.uint32))[0]
-            first = equal[near].reshape(-1, BANDS, ROWS).all(2).argmax(1)
-            for at in near[own[first] == key].tolist():
-                x, y = sorted((m, right[at]), key=lambda z: z[1])
-                if x[2] == y[2] or i == j and m is y:
-                    continue
-                if not best:
-                    yield x[1], y[1]
-                elif agree[at] > seen.get(k := tuple(sorted((x[2], y[2]))), (0,))[0]:
-                    seen[k] = (agree[at], x[1], y[1])
-        for _, x, y in seen.values():
-            yield x, y
+        x, y = (np.array([names[m[2]] for m in side]) for side in (left, right))
+        a, b = ([(np.frombuffer(m[3], np.uint64), np.frombuffer(m[4], np.float32)) for m in side] for side in (left, right))
+        least = threshold - 1e-6
+        if len(a) * len(b) <= 16:
+            near = np.array([[p != q and similarity(u, v) >= least for q, v in zip(y, b)] for p, u in zip(x, a)])
+        else:
+            found = block_similarity(a, b)
+            near = found >= least
+            for p, q in np.argwhere((abs(found - least) < 1e-4) & (x[:, None] != y)):
+                near[p, q] = similarity(a[p], b[q]) >= least
+        while len(open_ := np.argwhere(near & (x[:, None] != y))):
+            p, q = open_[0]
+            yield left[p][1], right[q][1]
+            old, now = y[q], x[p]
+            x[x == old] = now
+            y[y == old] = now
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members = None, []
@@ -311,11 +340,11 @@ def block_pairs(rest: DataFrame, best: bool) -> DataFrame:
 
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
-            for key, i, j, own, node, kind, sample in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, i, j, own, node, kind, h, w in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, i, j) != group:
                     done(out)
                     group, members = (key, i, j), []
-                members.append((own, node, kind, sample))
+                members.append((own, node, kind, h, w))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
         out = []
         done(out)
@@ -331,7 +360,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch, n = frequency_sketch(docs)
     idf = spark.sparkContext.broadcast(idf_table(sketch, n))
     signed = written(signatures(docs, idf), "near-signatures")
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("sample").alias("sample"), F.first("keys").alias("keys")), "near-nodes")
+    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("keys").alias("keys")), "near-nodes")
 
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-keys")
@@ -347,19 +376,13 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vector = written(vectors(texts.select("node", "text"), idf), "near-vectors", compression="zstd")
 
     links = written(verified(first, vector, threshold), "near-links")
-    done = first
-    for best in (True, False):
-        label = components(links)
-        member = written(buckets.join(label, "node", "left").select("key", "n", "node", F.coalesce("class", "node").alias("class")), "near-members")
-        torn = written(member.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("key"), "near-torn")
-        rest = member.join(torn, "key").join(nodes.select("node", "sample"), "node")
-        more = block_pairs(rest.select("key", "n", "node", "class", "sample"), best)
-        tried = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if more.isEmpty():
-            break
-        done = done.unionByName(more)
-        links = written(links.unionByName(verified(more, vector, threshold)), "near-links")
+    member = written(buckets.join(components(links), "node", "left").select("key", "n", "node", F.coalesce("class", "node").alias("class")), "near-members")
+    # Buckets with the same members are one; a digest of 128 bits tells them apart.
+    digest = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.first("n").alias("n"))
+    torn = member.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *digest).filter("low != high")
+    torn = written(torn.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "near-torn")
+    rest = member.join(torn, "key").join(vector, "node").select("key", "n", "node", "class", "h", "w")
+    links = written(links.unionByName(block_links(rest, threshold)), "near-links")
     label = components(links).withColumnRenamed("node", "labelled")
 
     classes = nodes.select("node", "first_id", "rows").join(label, F.col("node") == F.col("labelled"), "left").select("node", F.coalesce("class", "node").alias("class"), "first_id", "rows")
