@@ -133,3 +133,15 @@ def test_members_that_no_head_joins_are_all_compared(spark):
     got = {r.doc_id: r.class_id for r in nd.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(got[each * g] == got[each * g + 1] for g in range(groups))
     assert len(set(got.values())) == groups * (each - 1)
+
+
+def test_texts_alike_but_for_repetition_are_linked(spark):
+    rnd, texts = random.Random(5), []
+    for g in range(60):
+        words = [f"d{g}_{rnd.randrange(10**6)}" for _ in range(200)]
+        line = words[40:60]
+        texts += [" ".join(words), " ".join(words * 2), " ".join(words + line * 30)]
+    sets = [shingle_set(t) for t in texts]
+    assert all(jaccard(sets[g], sets[g + k]) >= 0.8 for g in range(0, len(texts), 3) for k in (1, 2))
+    got = {r.doc_id: r.class_id for r in nd.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 3 for i in range(len(texts))]

@@ -7,7 +7,8 @@ corpus, which is all that matters for the weight. The damping keeps large groups
 shingles are frequent.
 
 Texts alike in their words are one node. Each node has SAMPLES consistent weighted samples; BANDS bands of ROWS samples
-are its buckets. In a bucket, all are compared with the most central member, the one with most others in its buckets.
+are its buckets. Texts that repeat shingles have as many again by weights without tf, so that texts alike in their sets
+of shingles meet however often each repeats them. In a bucket, all are compared with the most central member, the one with most others in its buckets.
 Every pair of members that this leaves in different classes is verified too, block by block, by products of matrices.
 To verify is to compute the weighted Jaccard similarity of both shingle vectors; a pair is linked if it, or the plain
 Jaccard similarity, is 0.8 or more (the latter so that weights can't undo a link in a large group). Classes are the
@@ -166,20 +167,24 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, node, keys) of (doc_id, node, text); a text without words has no keys."""
+    """(doc_id, node, keys) of (doc_id, node, text); a text without words has no keys.
+
+    A text that repeats a shingle has the keys of its weights with and without tf; for others both are the same.
+    """
 
     def make():
         cache = HashCache()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(t, cache) for t in batch.column("text").to_pylist()]
-            some = [i for i, (h, _) in enumerate(sets) if len(h)]
-            keys = [[]] * len(sets)
-            if some:
-                h, tf = (np.concatenate([sets[i][j] for i in some]) for j in (0, 1))
-                starts = np.cumsum([0, *(len(sets[i][0]) for i in some[:-1])])
-                for i, k in zip(some, band_keys(samples(h, weights(h, tf, idf.value), starts)).tolist()):
-                    keys[i] = k
+            sampled = [(i, h, tf) for i, (h, tf) in enumerate(sets) if len(h)]
+            sampled += [(i, h, np.ones_like(tf)) for i, h, tf in sampled if tf.max() > 1]
+            keys = [[] for _ in sets]
+            if sampled:
+                h, tf = (np.concatenate([x[j] for x in sampled]) for j in (1, 2))
+                starts = np.cumsum([0, *(len(x[1]) for x in sampled[:-1])])
+                for (i, _, _), own in zip(sampled, band_keys(samples(h, weights(h, tf, idf.value), starts)).tolist()):
+                    keys[i] += own if not keys[i] else [k for k in own if k not in keys[i]]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
 
         return one
