@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import jobs
 from tidewater.operators.features import ALL, FeatureApp
+from tidewater.plans.syntax import FeatureError
 from tidewater.sources import connectors, sinks
 from tidewater.sources.tables import events
 from tidewater.streaming.features import StreamFeature, stream_alarms, stream_features
@@ -79,3 +80,9 @@ def test_layers_are_upserted(spark, stream, tmp_path):
     assert {(r.event_type, r.v_count) for r in spark.read.parquet(str(last)).collect()} == {tuple(r) for r in rows.groupBy("event_type").count().collect()}
     again = sinks.upsert(spark, path, spark.createDataFrame([("new", 1, 99)], "event_type string, v_count long, version int"), ["event_type"], "version", 99)
     assert again.count() == rows.select("event_type").distinct().count() + 1
+
+
+@pytest.mark.parametrize("text", [f"FLAT_SUM(1d, {ALL}, amount, user_id)", f"FLAT_SET(1d, {ALL}, amount, user_id)", f"FLAT_COUNT_DISTINCT(1d, {ALL}, amount, user_id)", "F_ADD(a, b, c)", "M_OWN(1d, b, c)"])
+def test_functions_that_streams_lack_are_errors(text):
+    with pytest.raises(FeatureError):
+        StreamFeature.of("x", text)

@@ -14,6 +14,8 @@ from ..functions.windows import span
 from ..plans.syntax import FeatureError, parse_call
 from .state import FeatureState
 
+#: The functions that streams have; all others are batch only.
+OPS = {"COUNT", "SUM", "AVG", "MAX", "MIN", "VARIANCE", "DIFF", "COUNT_DISTINCT", "SET", "HIST"}
 KINDS = {"COUNT_DISTINCT": "long", "SET": "array<string>", "HIST": "array<struct<x:double,y:double>>"}
 
 
@@ -31,6 +33,8 @@ class StreamFeature:
     @classmethod
     def of(cls, name: str, text: str) -> StreamFeature:
         call = parse_call(text)
+        if call.op not in OPS:
+            raise FeatureError(f"streams have no {call.op}: {text}")
         if len(call.args) < 3:
             raise FeatureError(f"a window, an event type and a target are needed: {text}")
         bins = int(call.args[3].value) if call.op == "HIST" else 0
