@@ -35,3 +35,10 @@ def test_query(spark, db, name):
         assert Counter(got) == Counter(want)
         kinds = dict(zip(df.columns, db.sql(f"SELECT {columns} FROM ({catalog.ORACLE_SQL[name]})").types))
         assert {c: k for c, k in df.dtypes if k in ("bigint", "int")} == {c: {"BIGINT": "bigint", "INTEGER": "int"}.get(str(t), str(t)) for c, t in kinds.items() if dict(df.dtypes)[c] in ("bigint", "int")}
+
+
+@pytest.mark.parametrize("broken", [lambda df: df.filter("version = 2"), lambda df: df.filter("version = 1"), lambda df: df.withColumn("version", -df["version"])])
+def test_rows_show_an_upsert_that_loses_or_keeps_rows_wrongly(spark, monkeypatch, broken):
+    right, latest = Counter(catalog.layer_upsert(spark, SF).collect()), catalog.sinks.latest
+    monkeypatch.setattr(catalog.sinks, "latest", lambda df, keys, version: latest(broken(df), keys, version))
+    assert Counter(catalog.layer_upsert(spark, SF).collect()) != right

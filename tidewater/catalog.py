@@ -371,10 +371,11 @@ def layer_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("layer_upsert", f"WITH {E} {layer_sql('batch', H, 3)}")
 def layer_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the first half of all events, overwritten by those of all: the later version of a row stays."""
+    """Counts of the events up to a moment, then of the windows that end after it: where a window has both, the later version stays."""
     e = timed(spark, sf_dir)
-    early = jobs.layer(e.filter("event_id % 2 = 0"), "ts", "event_type", "batch", H, 3).withColumn("version", F.lit(1))
-    both = early.unionByName(jobs.layer(e, "ts", "event_type", "batch", H, 3).withColumn("version", F.lit(2)))
+    early = jobs.layer(e.filter(F.col("ms") < SERVE_AT), "ts", "event_type", "batch", H, 3)
+    late = jobs.layer(e.filter(F.col("ms") >= SERVE_AT - 3 * H), "ts", "event_type", "batch", H, 3).filter(F.col("end") * H > SERVE_AT)
+    both = early.withColumn("version", F.lit(1)).unionByName(late.withColumn("version", F.lit(2)))
     return sinks.latest(both, ["id"], "version").drop("version")
 
 
