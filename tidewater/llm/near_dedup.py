@@ -40,6 +40,8 @@ WIDTH, DEPTH, CHUNK = 1 << 19, 2, 1 << 14
 IDF_GAIN = 0.2
 #: Members of a bucket in a block, and pairs of one node that are verified in one task; columns of a block that are held at once.
 BLOCK, SHARE, COLUMNS = 256, 256, 4096
+#: Shingles that are sampled at once, which bounds a worker's memory.
+PART = 1 << 15
 #: Nodes whose texts are fetched by a broadcast of their digests (16 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -138,23 +140,31 @@ def _gamma() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low.astype(np.float32), (1 / low).astype(np.float32), np.log(low).astype(np.float32)
 
 
-def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray, other: tuple[np.ndarray, np.ndarray] | None = None):
     """Consistent weighted samples of sets that lie one after the other, each from its start: (sets, SAMPLES) 32-bit values.
 
     The smallest ln a of a set names its sample: it is a function of the shingle and its quantised weight alone.
+    other: places and the weights there by which the sets are sampled again; the result is then a pair.
     """
     r_of, inverse_of, log_of = _gamma()
     log_w = np.log(w)
     out = np.zeros((len(starts), SAMPLES), np.uint32)
+    again = out.copy() if other else None
+    at, log_at = (other[0], np.log(other[1])) if other else (None, None)
     low = np.uint64(0xFFFF)
     for k in range(SAMPLES):
         u = _mixed(h ^ np.uint64((k + 1) * int(ODD) % (1 << 64)))
         r = (u & low).astype(np.int64)
         beta = ((u >> np.uint64(32)) & low).astype(np.float32) * np.float32(1 / 65536)
         t = np.floor(log_w * inverse_of[r] + beta)
-        a = log_of[((u >> np.uint64(16)) & low).astype(np.int64)] - r_of[r] * (t - beta + np.float32(1))
+        g = log_of[((u >> np.uint64(16)) & low).astype(np.int64)]
+        a = g - r_of[r] * (t - beta + np.float32(1))
         out[:, k] = np.minimum.reduceat(a, starts).view(np.uint32)
-    return out
+        if other:
+            t = np.floor(log_at * inverse_of[r[at]] + beta[at])
+            a[at] = g[at] - r_of[r[at]] * (t - beta[at] + np.float32(1))
+            again[:, k] = np.minimum.reduceat(a, starts).view(np.uint32)
+    return (out, again) if other else out
 
 
 def band_keys(sample: np.ndarray) -> np.ndarray:
@@ -177,14 +187,17 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(t, cache) for t in batch.column("text").to_pylist()]
-            sampled = [(i, h, tf) for i, (h, tf) in enumerate(sets) if len(h)]
-            sampled += [(i, h, np.ones_like(tf)) for i, h, tf in sampled if tf.max() > 1]
             keys = [[] for _ in sets]
-            if sampled:
-                h, tf = (np.concatenate([x[j] for x in sampled]) for j in (1, 2))
-                starts = np.cumsum([0, *(len(x[1]) for x in sampled[:-1])])
-                for (i, _, _), own in zip(sampled, band_keys(samples(h, weights(h, tf, idf.value), starts)).tolist()):
-                    keys[i] += own if not keys[i] else [k for k in own if k not in keys[i]]
+            some = [i for i, (h, _) in enumerate(sets) if len(h)]
+            part = np.cumsum([len(sets[i][0]) for i in some]) // PART
+            for p in dict.fromkeys(part.tolist()):
+                mine = [some[x] for x in np.flatnonzero(part == p)]
+                h, tf = (np.concatenate([sets[i][j] for i in mine]) for j in (0, 1))
+                starts = np.cumsum([0, *(len(sets[i][0]) for i in mine[:-1])])
+                at = np.flatnonzero(tf > 1)
+                both = samples(h, weights(h, tf, idf.value), starts, (at, weights(h[at], np.ones_like(at), idf.value)))
+                for i, own, plain in zip(mine, *(band_keys(x).tolist() for x in both)):
+                    keys[i] = own + [k for k in plain if k not in own]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
 
         return one
