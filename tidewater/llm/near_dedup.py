@@ -1,18 +1,24 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-A text's shingles are its runs of five words, lower-cased; a shorter text is one shingle. A shingle's weight is
-(1 + ln tf) times a damped inverse document frequency. Document frequencies come from a count-min sketch of fixed size
-that covers all documents, so that every worker can hold it: it tells apart what is frequent in proportion to the
-corpus, which is all that matters for the weight. The damping keeps large groups of near copies together, whose own
-shingles are frequent.
-
-Texts alike in their words are one node. Each node has SAMPLES consistent weighted samples; BANDS bands of ROWS samples
-are its buckets. Texts that repeat shingles have as many again by weights without tf, so that texts alike in their sets
-of shingles meet however often each repeats them. In a bucket, all are compared with the most central member, the one with most others in its buckets.
-Every pair of members that this leaves in different classes is verified too, block by block, by products of matrices.
-To verify is to compute the weighted Jaccard similarity of both shingle vectors; a pair is linked if it, or the plain
-Jaccard similarity, is 0.8 or more (the latter so that weights can't undo a link in a large group). Classes are the
-connected components of the links, by label propagation with pointer jumping.
+A text's shingles are its runs of five words, lower-cased; a shorter text is one shingle. Texts alike in their words are
+one node. A shingle's weight is its term frequency times its inverse document frequency, both bounded:
+
+    tf(n) = 1.25 - 0.25 / n                                     how often it occurs in the text, saturating as in BM25
+    idf(d) = 0.5 + 0.5 min(1, ln(N / d) / ln 100)               d of N documents have it
+
+A shingle that at most one document in a hundred has weighs 1, one that all have weighs half as much. So document
+frequencies are needed only for common shingles, of which there can be no more than a hundred times the mean number of
+shingles of a document, at any number of documents: a table that every worker can hold. It is exact. A count-min sketch
+over all documents, whose noise is a fixed share of N, shows which shingles may be common; those are then counted.
+
+Each node has SAMPLES consistent weighted samples; BANDS bands of ROWS samples are its buckets. In a bucket, all are
+compared with the most central member, the one with most others in its buckets. Every pair of members that this leaves
+in different classes is compared too, block by block, by products of matrices. To compare is to compute the weighted
+Jaccard similarity of both vectors, and a pair is linked if it is 0.8 or more. Classes are the connected components of
+the links, by label propagation with pointer jumping.
+
+Each text is read and cut into shingles once. A task keeps a memtable of its nodes, so copies of one text give one
+vector a task; everything else starts from these vectors.
 
 Defined results: null and empty texts are one class, as equal texts are. A class's id is the smallest doc_id in it, null
 if none of its rows has one; kept marks one row of each class, with that id. Equal rows are one class. Other columns are
@@ -21,75 +27,163 @@ ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_batches, plus, read_table, texts_of, written
+from . import filters
+from .base import Scratch, map_batches, plus, read_table, slices
+from .textbytes import ODD, mixed, raw, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 19, 5
 SAMPLES = BANDS * ROWS
-#: Width and depth of the sketch, which is all that is sent to the driver and to all workers: 8 MB.
-WIDTH, DEPTH, CHUNK = 1 << 19, 2, 1 << 14
-IDF_GAIN = 0.2
-#: Members of a bucket in a block, and pairs of one node that are verified in one task; columns of a block that are held at once.
-BLOCK, SHARE, COLUMNS = 256, 256, 4096
-#: Shingles that are sampled at once, which bounds a worker's memory.
+#: Share of documents from which on a shingle is common, the weight of one that all have, and the most that tf adds.
+COMMON, LEAST, REPEATED = 0.01, 0.5, 0.25
+#: Width and depth of the sketch: 8 MB reach the driver, a bit of each cell all workers. CHUNK cells are a row.
+WIDTH, DEPTH, CHUNK, SALTS = 1 << 19, 2, 1 << 13, 16
+#: Bytes of vectors that a task holds before it sends them on.
+HELD_BYTES = 16 << 20
+#: Shingles that are sampled at once, which stay in the processor's cache.
 PART = 1 << 15
-#: Nodes whose texts are fetched by a broadcast of their digests (16 bytes each); more are joined by a shuffle.
-BROADCAST_NODES = 500_000
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class HashCache(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+#: Bytes of vectors of one node's pairs that are verified in one task; members and bytes of a block; columns held at once.
+SHARE_BYTES, BLOCK, BLOCK_BYTES, COLUMNS = 4 << 20, 256, 8 << 20, 4096
+
+MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SEEDS = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * ODD) | np.uint64(1)
+
+
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of each text: sorted distinct hashes of its shingles (48 bits, the low 16 are 0), how often each occurs, where its own begin, and its node."""
+    data, _ = raw(texts)
+    if (data >= 128).any():
+        texts = pc.utf8_lower(texts)
+    w, first = words(texts)
+    n, k = len(texts), SHINGLE
+    m = np.diff(first)
+    out = np.zeros(len(w), np.uint64)
+    use = np.zeros(len(w) + 1, bool)
+    whole = len(w) - k + 1
+    if whole > 0:
+        for i in range(k):
+            out[:whole] = (out[:whole] ^ w[i : whole + i]) * ODD
+        steps = np.zeros(len(w) + 1, np.int64)
+        long = m >= k
+        np.add.at(steps, first[:-1][long], 1)
+        np.add.at(steps, first[1:][long] - k + 1, -1)
+        use = np.cumsum(steps) > 0
+    for size in range(1, k):
+        at = first[:-1][m == size]
+        short = np.zeros(len(at), np.uint64)
+        for i in range(size):
+            short = (short ^ w[at + i]) * ODD
+        out[at] = short
+        use[at] = True
+    h = mixed(out[use[:-1]]) & np.uint64(0xFFFFFFFFFFFF0000)
+    bounds = np.concatenate([[0], np.cumsum(np.where(m >= k, m - k + 1, m > 0))])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[bounds[:-1][m > 0]] = True
+    at = np.flatnonzero(new)
+    edges = first.tolist()
+    nodes = [xxhash.xxh3_128_digest(w[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+    return h[at], np.diff(np.append(at, len(h))), np.searchsorted(at, bounds), nodes
+
+
+def _packed(h: np.ndarray) -> bytes:
+    return (h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(h: pa.Array, tf: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and frequencies of all entries one after the other, and where each begins."""
+    data, at = raw(h)
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = data.reshape(-1, 6)
+    bounds = at // 6
+    often = np.ones(len(out), np.int64)
+    counts, places = raw(tf)
+    for i in np.flatnonzero(np.diff(places)).tolist():
+        often[bounds[i] : bounds[i + 1]] = np.frombuffer(counts[places[i] : places[i + 1]].tobytes(), "<u4")
+    return out.view(np.uint64).ravel(), often, bounds
+
+
+def entries(docs: DataFrame) -> DataFrame:
+    """Of (doc_id, row_id, text): a record (doc_id, row_id, node) of each row, and of each node in a memtable one with its least doc_id, its rows and its shingles."""
+    fields = [*docs.select("doc_id", "row_id").schema.names, "node", "rows", "h", "tf"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+        size, kinds = 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            items = list(held.items())
+            held.clear()
+            at = 0
+            while at < len(items):
+                stop, total = at, 0
+                while stop < len(items) and (stop == at or total < 2 << 20):
+                    total += len(items[stop][1][2])
+                    stop += 1
+                some = items[at:stop]
+                at = stop
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([e[1] for _, e in some], kinds[0]), pa.nulls(len(some), kinds[1]), pa.array([node for node, _ in some], pa.binary()), pa.array([e[0] for _, e in some], pa.int64()), pa.array([e[2] for _, e in some], pa.binary()), pa.array([e[3] for _, e in some], pa.binary())],
+                    names=fields,
+                )
 
-def shingles(text: str, cache: HashCache) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of a text's shingles and how often each occurs; none for a text without words."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.array(list(map(cache.__getitem__, words)), np.uint64)
-    k = min(SHINGLE, len(words))
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        out = (out ^ h[i : len(h) - k + 1 + i]) * ODD
-    return np.unique(_mixed(out), return_counts=True)
+        for batch in batches:
+            kinds = batch.column("doc_id").type, batch.column("row_id").type
+            for part in slices(batch, "text"):
+                h, tf, bounds, nodes = shingle_sets(part.column("text"))
+                for i, (doc_id, node) in enumerate(zip(part.column("doc_id").to_pylist(), nodes)):
+                    entry = held.get(node)
+                    if entry is None:
+                        own = slice(bounds[i], bounds[i + 1])
+                        often = tf[own].astype("<u4").tobytes() if (tf[own] > 1).any() else b""
+                        held[node] = [1, doc_id, _packed(h[own]), often]
+                        size += len(held[node][2]) + len(often) + 200
+                        continue
+                    entry[0] += 1
+                    if entry[1] is None or doc_id is not None and doc_id < entry[1]:
+                        entry[1] = doc_id
+                none = pa.nulls(len(nodes), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_id"), pa.array(nodes, pa.binary()), pa.nulls(len(nodes), pa.int64()), none, none], names=fields)
+                if size > HELD_BYTES:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return docs.mapInArrow(run, plus(docs.select("doc_id", "row_id"), "node binary, rows long, h binary, tf binary"))
 
 
 def _cells(h: np.ndarray, row: int) -> np.ndarray:
-    return ((h >> np.uint64(20 * row)) % np.uint64(WIDTH)).astype(np.int64)
+    return ((h >> np.uint64(45 - 20 * row)) % np.uint64(WIDTH)).astype(np.int64)
 
 
-def frequency_sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Document frequencies of all shingles of (text) by cell, and the number of documents."""
+def frequency_sketch(entered: DataFrame) -> tuple[np.ndarray, int]:
+    """Document frequencies of all shingles by cell, and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sketch, n = HashCache(), np.zeros((DEPTH, WIDTH), np.int64), 0
+        sketch, n = np.zeros((DEPTH, WIDTH), np.int64), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                texts = batch.slice(at, 512).column("text").to_pylist()
-                n += len(texts)
-                found = np.concatenate([shingles(t, cache)[0] for t in texts])
+            for part in slices(batch, "h", 4096, 4 << 20):
+                h, _, bounds = _unpacked(part.column("h"), part.column("tf"))
+                rows = np.array(part.column("rows").to_pylist(), np.int64)
+                n += int(rows.sum())
+                more = np.repeat(rows - 1, np.diff(bounds))
+                again = np.flatnonzero(more)
                 for row in range(DEPTH):
-                    sketch[row] += np.bincount(_cells(found, row), minlength=WIDTH)
+                    cells = _cells(h, row)
+                    sketch[row] += np.bincount(cells, minlength=WIDTH)
+                    if len(again):
+                        np.add.at(sketch[row], cells[again], more[again])
         parts = sketch.reshape(-1, CHUNK)
         some = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some]), pa.array([np.array([n]).tobytes(), *(parts[i].astype("<u4").tobytes() for i in some)], pa.binary())], names=["part", "counts"])
@@ -97,15 +191,19 @@ def frequency_sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                values = np.frombuffer(counts, "<i8" if part < 0 else "<u4").astype(np.int64)
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                blob = counts.as_buffer()
+                # What comes from one task has 32 bits, sums and the number of documents have 64.
+                values = np.frombuffer(blob, "<u4" if part >= 0 and len(blob) == 4 * CHUNK else "<i8").astype(np.int64)
                 total[part] = total[part] + values if part in total else values
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "counts"])
 
     schema = "part long, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
+    made = entered.select("rows", "h", "tf").mapInArrow(count, schema)
+    # Added up in two steps, so that no task has the parts of all others.
+    halfway = made.withColumn("salt", F.spark_partition_id() % SALTS).repartition("part", "salt").select("part", "counts").mapInArrow(add, schema)
     sketch, n = np.zeros((DEPTH * WIDTH // CHUNK, CHUNK), np.int64), 0
-    for part, counts in summed.collect():  # of a fixed size
+    for part, counts in halfway.repartition("part").mapInArrow(add, schema).collect():  # of a fixed size
         if part < 0:
             n = int(np.frombuffer(counts, "<i8")[0])
         else:
@@ -113,166 +211,211 @@ def frequency_sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     return sketch.reshape(DEPTH, WIDTH), n
 
 
-def idf_table(sketch: np.ndarray, n: int) -> np.ndarray:
-    """The damped weight by cell. The mean load of a row's cells, which is noise, is taken off."""
-    noise = sketch.mean(1, keepdims=True)
-    df = np.clip(sketch - noise, 0, n)
-    return (1 + IDF_GAIN * np.log((n + 1) / (df + 1)) / np.log(n + 2)).astype(np.float32)
-
-
-def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    # The least frequency of a shingle's cells is the nearest to the true one, so the largest weight is.
-    most = idf[0][_cells(h, 0)]
-    for row in range(1, DEPTH):
-        most = np.maximum(most, idf[row][_cells(h, row)])
-    return most * (1 + np.log(tf)).astype(np.float32)
+def common_shingles(entered: DataFrame, sketch: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all shingles that more than COMMON of the n documents have, and how many have each."""
+    least = COMMON * n
+    hot = entered.sparkSession.sparkContext.broadcast(sketch > least)
 
-
-@functools.lru_cache(maxsize=1)
-def _gamma() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Quantiles of Gamma(2, 1) at the middles of 65536 equal shares: themselves, their inverses, their logarithms."""
-    p = (np.arange(1 << 16) + 0.5) / (1 << 16)
-    low, high = np.zeros_like(p), np.full_like(p, 40.0)
-    for _ in range(60):
-        middle = (low + high) / 2
-        below = 1 - np.exp(-middle) * (1 + middle) < p
-        low, high = np.where(below, middle, low), np.where(below, high, middle)
-    return low.astype(np.float32), (1 / low).astype(np.float32), np.log(low).astype(np.float32)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in batches:
+            for part in slices(batch, "h", 4096, 4 << 20):
+                h, _, bounds = _unpacked(part.column("h"), part.column("tf"))
+                rows = np.repeat(np.array(part.column("rows").to_pylist(), np.int64), np.diff(bounds))
+                # A sketch never counts too few, so no common shingle is missed.
+                at = np.flatnonzero(hot.value[0][_cells(h, 0)])
+                for row in range(1, DEPTH):
+                    at = at[hot.value[row][_cells(h[at], row)]]
+                some, back = np.unique(h[at], return_inverse=True)
+                for x, k in zip(some.view(np.int64).tolist(), np.bincount(back, rows[at], len(some)).tolist()):
+                    total[x] = total.get(x, 0) + int(k)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["x", "df"])
+
+    counted = entered.select("rows", "h", "tf").mapInArrow(count, "x long, df long").groupBy("x").agg(F.sum("df").alias("df"))
+    # At most 1 / COMMON times the mean number of shingles of a document.
+    found = counted.filter(F.col("df") > least).toArrow()
+    h, df = (found.column(c).to_numpy().astype(np.int64) for c in ("x", "df"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], df[order]
+
+
+class Idf:
+    """The inverse document frequencies that aren't 1, by shingle."""
+
+    def __init__(self, h: np.ndarray, df: np.ndarray, n: int):
+        self.h = h
+        self.idf = (LEAST + (1 - LEAST) * np.clip(np.log(n / df) / -np.log(COMMON), 0, 1)).astype(np.float32)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(h >> np.uint64(44)).astype(np.int64)] = True
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), np.float32)
+        if len(self.h):
+            at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.h, h[at]), len(self.h) - 1)
+            out[at] = np.where(self.h[place] == h[at], self.idf[place], np.float32(1))
+        return out
+
+
+def weights(h: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
+    out = idf.of(h)
+    again = np.flatnonzero(tf > 1)
+    out[again] *= (1 + REPEATED - REPEATED / tf[again]).astype(np.float32)
+    return out
+
+
+def _reweighted(u: np.ndarray, log_w: np.ndarray) -> np.ndarray:
+    """The place in the order of samples of shingles whose weight isn't 1, from the place u that they have at weight 1.
+
+    Consistent sampling draws r and c from Gamma(2, 1) and beta from (0, 1), takes t = floor(ln w / r + beta) and orders by
+    ln a = ln c - r (t - beta + 1). At weight 1, t is 0 and a is exponential. So a is drawn first, as -ln(1 - u), and with two
+    exponentials e and x more, c = a + e, r = x + ln(c / a) and beta = x / r have that joint distribution. Weights of 1
+    then need no arithmetic at all: u itself is the order.
+    """
+    a = -np.log1p(-((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+    v = mixed(u ^ np.uint64(0xA0761D6478BD642F))
+    e, x = (-np.log((part.astype(np.float64) + 0.5) * 2.0**-32) for part in (v >> np.uint64(32), v & np.uint64(0xFFFFFFFF)))
+    c = a + e
+    r = x + np.log(c / a)
+    beta = x / r
+    t = np.floor(log_w / r + beta)
+    share = -np.expm1(-np.exp(np.log(c) - r * (t - beta + 1)))
+    return np.where(t == 0, u, (np.minimum(share, 1 - 2.0**-53) * 2.0**64).astype(np.uint64))
 
 
-def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray, other: tuple[np.ndarray, np.ndarray] | None = None):
-    """Consistent weighted samples of sets that lie one after the other, each from its start: (sets, SAMPLES) 32-bit values.
+def samples(h: np.ndarray, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Consistent weighted samples of sets that lie one after the other, none of them empty: (sets, SAMPLES) 64-bit values.
 
-    The smallest ln a of a set names its sample: it is a function of the shingle and its quantised weight alone.
-    other: places and the weights there by which the sets are sampled again; the result is then a pair.
+    The smallest place of a set names its sample: it is a function of the shingle and its quantised weight alone.
     """
-    r_of, inverse_of, log_of = _gamma()
-    log_w = np.log(w)
-    out = np.zeros((len(starts), SAMPLES), np.uint32)
-    again = out.copy() if other else None
-    at, log_at = (other[0], np.log(other[1])) if other else (None, None)
-    low = np.uint64(0xFFFF)
-    for k in range(SAMPLES):
-        u = _mixed(h ^ np.uint64((k + 1) * int(ODD) % (1 << 64)))
-        r = (u & low).astype(np.int64)
-        beta = ((u >> np.uint64(32)) & low).astype(np.float32) * np.float32(1 / 65536)
-        t = np.floor(log_w * inverse_of[r] + beta)
-        g = log_of[((u >> np.uint64(16)) & low).astype(np.int64)]
-        a = g - r_of[r] * (t - beta + np.float32(1))
-        out[:, k] = np.minimum.reduceat(a, starts).view(np.uint32)
-        if other:
-            t = np.floor(log_at * inverse_of[r[at]] + beta[at])
-            a[at] = g[at] - r_of[r[at]] * (t - beta[at] + np.float32(1))
-            again[:, k] = np.minimum.reduceat(a, starts).view(np.uint32)
-    return (out, again) if other else out
+    out = np.full((len(bounds) - 1, SAMPLES), MOST)
+    buffer = np.empty(min(PART, len(h)), np.uint64)
+    for p in range(0, len(h), PART):
+        own = h[p : p + PART]
+        low, high = np.searchsorted(bounds, (p, p + len(own) - 1), "right") - 1
+        starts = np.maximum(bounds[low : high + 1] - p, 0)
+        odd = np.flatnonzero(w[p : p + PART] != 1)
+        u = buffer[: len(own)]
+        found = np.empty((high - low + 1, SAMPLES), np.uint64)
+        for k in range(SAMPLES):
+            np.multiply(own, _SEEDS[k], out=u)
+            u[odd] = MOST
+            found[:, k] = np.minimum.reduceat(u, starts)
+        for at in (odd[i : i + 4096] for i in range(0, len(odd), 4096)):
+            other, of = w[p : p + PART][at].astype(np.float64), np.searchsorted(starts, at, "right") - 1
+            place = own[at][:, None] * _SEEDS
+            # A weight below 1 can only put off a place, so most need no look.
+            i, k = np.nonzero((place < found[of]) | (other > 1)[:, None])
+            np.minimum.at(found, (of[i], k), _reweighted(place[i, k], np.log(other)[i]))
+        out[low : high + 1] = np.minimum(out[low : high + 1], found)
+    return out
 
 
 def band_keys(sample: np.ndarray) -> np.ndarray:
     """64-bit keys of the bands: (sets, BANDS)."""
-    parts = sample.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    parts = sample.reshape(-1, BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * ODD, parts.shape[:2]).copy()
     for i in range(ROWS):
-        key = _mixed(key ^ parts[:, :, i]) * ODD
+        key = mixed(key ^ parts[:, :, i]) * ODD
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, node, keys) of (doc_id, node, text); a text without words has no keys.
-
-    A text that repeats a shingle has the keys of its weights with and without tf; for others both are the same.
-    """
+def signatures(entered: DataFrame, idf) -> DataFrame:
+    """(node, doc_id, rows, size, keys) of each entry; a text without words has no keys."""
 
     def make():
-        cache = HashCache()
-
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingles(t, cache) for t in batch.column("text").to_pylist()]
-            keys = [[] for _ in sets]
-            some = [i for i, (h, _) in enumerate(sets) if len(h)]
-            part = np.cumsum([len(sets[i][0]) for i in some]) // PART
-            for p in dict.fromkeys(part.tolist()):
-                mine = [some[x] for x in np.flatnonzero(part == p)]
-                h, tf = (np.concatenate([sets[i][j] for i in mine]) for j in (0, 1))
-                starts = np.cumsum([0, *(len(sets[i][0]) for i in mine[:-1])])
-                at = np.flatnonzero(tf > 1)
-                both = samples(h, weights(h, tf, idf.value), starts, (at, weights(h[at], np.ones_like(at), idf.value)))
-                for i, own, plain in zip(mine, *(band_keys(x).tolist() for x in both)):
-                    keys[i] = own + [k for k in plain if k not in own]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+            h, tf, bounds = _unpacked(batch.column("h"), batch.column("tf"))
+            size = np.diff(bounds)
+            keys = band_keys(samples(h, weights(h, tf, idf.value), np.append(bounds[:-1][size > 0], len(h))))
+            ends = np.cumsum(np.where(size > 0, BANDS, 0)).astype(np.int32)
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys.ravel()))
+            return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), batch.column("rows"), pa.array(size), made], names=["node", "doc_id", "rows", "size", "keys"])
 
         return one
 
-    return map_batches(docs, make, plus(docs.select("doc_id", "node"), "keys array<long>"), rows=256)
+    return map_batches(entered, make, plus(entered.select("node", "doc_id", "rows"), "size long, keys array<long>"), 4096, "h", 2 << 20)
 
 
-def vectors(docs: DataFrame, idf) -> DataFrame:
-    """(node, h, w): sorted shingle hashes and their weights, of (node, text)."""
+def vectors(entered: DataFrame, idf, wanted) -> DataFrame:
+    """(node, h, w): sorted shingle hashes and their weights, of the entries whose nodes the filter may hold."""
 
     def make():
-        cache = HashCache()
-
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            h, w = [], []
-            for text in batch.column("text").to_pylist():
-                own, tf = shingles(text, cache)
-                h.append(own.tobytes())
-                w.append(weights(own, tf, idf.value).tobytes())
-            return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(h, pa.binary()), pa.array(w, pa.binary())], names=["node", "h", "w"])
+            batch = batch.filter(pa.array(filters.might_hold(wanted.value, batch.column("node"))))
+            h, tf, bounds = _unpacked(batch.column("h"), batch.column("tf"))
+            w = weights(h, tf, idf.value)
+            ends = bounds.tolist()
+            blobs = ([x[a:b].tobytes() for a, b in zip(ends, ends[1:])] for x in (h, w))
+            return pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(b, pa.binary()) for b in blobs)], names=["node", "h", "w"])
 
         return one
 
-    return map_batches(docs, make, plus(docs.select("node"), "h binary, w binary"), rows=256)
+    return map_batches(entered.select("node", "h", "tf"), make, plus(entered.select("node"), "h binary, w binary"), 4096, "h", 2 << 20)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of weighted and plain Jaccard similarity of two sorted vectors."""
+    """The weighted Jaccard similarity of two sorted vectors."""
     (ha, wa), (hb, wb) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
     if not len(ha):
         return float(not len(hb))
     at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
     both = hb[at] == ha
-    n = int(np.count_nonzero(both))
-    shared = float(np.minimum(wa[both], wb[at[both]]).sum())
-    return max(shared / (float(wa.sum()) + float(wb.sum()) - shared), n / (len(ha) + len(hb) - n))
+    shared = np.minimum(wa[both], wb[at[both]]).sum(dtype=np.float64)
+    return float(shared / (wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - shared))
+
+
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+
 
+class _Vectors:
+    """The vectors of a batch: a view of its bytes for each row."""
 
-def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of pairs with a similarity of at least threshold. A node's vector goes once to each share of its pairs."""
+    def __init__(self, batch: pa.RecordBatch):
+        (self.h, self.at), (self.w, _) = raw(batch.column("h")), raw(batch.column("w"))
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.at[i], self.at[i + 1]
+        return np.frombuffer(self.h[a:b].tobytes(), np.uint64), np.frombuffer(self.w[a // 2 : b // 2].tobytes(), np.float32)
+
+
+def verified(pairs: DataFrame, vector: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """The (a, b) of pairs (a, b, size of b) with a similarity of at least threshold. A node's vector goes once to each share of its pairs."""
     share = F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")
-    shares = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "near-shares")
-    counted = pairs.join(shares, "a")
+    shares = scratch.written(pairs.groupBy("a").agg(F.ceil(F.sum(F.col("size") + 16) * 12 / SHARE_BYTES).cast("int").alias("shares")), "near-shares")
     heads = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    own = heads.join(vectors, F.col("a") == F.col("node")).select("a", "share", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("b"), "h", "w")
-    other = counted.withColumn("share", share).join(vectors, F.col("b") == F.col("node")).select("a", "share", F.lit(1).alias("kind"), "b", "h", "w")
+    own = heads.join(vector, F.col("a") == F.col("node")).select("a", "share", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("b"), "h", "w")
+    other = pairs.join(shares, "a").withColumn("share", share).join(vector, F.col("b") == F.col("node")).select("a", "share", F.lit(1).alias("kind"), "b", "h", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, now = None, None
         for batch in batches:
-            a_of, b_of = [], []
-            for a, share, kind, b, h, w in zip(*(c.to_pylist() for c in batch.columns)):
-                vector = np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32)
-                if kind == 0:
-                    head, now = vector, (a, share)
-                elif now == (a, share) and similarity(head, vector) >= threshold - 1e-6:
-                    a_of.append(a)
-                    b_of.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a_of, pa.binary()), pa.array(b_of, pa.binary())], names=["a", "b"])
+            for part in slices(batch, "h"):
+                found, held = [], _Vectors(part)
+                for i, (a, share, kind, b) in enumerate(zip(*(part.column(c).to_pylist() for c in ("a", "share", "kind", "b")))):
+                    if kind == 0:
+                        head, now = held[i], (a, share)
+                    elif now == (a, share) and similarity(head, held[i]) >= threshold - 1e-6:
+                        found.append((a, b))
+                yield _pairs(found)
 
     rows = own.unionByName(other).repartition("a", "share").sortWithinPartitions("a", "share", "kind")
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, class) of all nodes in links (a, b): the smallest node each is connected to."""
-    both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "near-edges")
-    label = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("class")), "near-labels")
+    both = scratch.written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "near-edges")
+    label = scratch.written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("class")), "near-labels")
     while True:
         near = both.join(label, both["u"] == label["node"]).groupBy("v").agg(F.min("class").alias("near"))
         new = label.join(near, label["node"] == near["v"], "left").select("node", F.col("class").alias("was"), F.least("class", "near").alias("class"))
         jump = label.select(F.col("node").alias("at"), F.col("class").alias("over"))
         new = new.join(jump, new["class"] == jump["at"], "left").select("node", "was", F.least("class", "over").alias("class"))
-        new = written(new, "near-labels")
-        if new.filter("was != class").isEmpty():
+        moved = Observation()
+        new = scratch.written(new.observe(moved, F.count(F.when(F.col("was") != F.col("class"), 1)).alias("n")), "near-labels")
+        if not moved.get["n"]:
             return new.select("node", "class")
         label = new.select("node", "class")
 
@@ -281,47 +424,47 @@ def block_similarity(left: list[tuple], right: list[tuple]) -> np.ndarray:
     """similarity() of each of left with each of right, lists of vectors (h, w), but for rounding.
 
     A shingle has a column for each weight that it has in the block, in which all have a one who have at least that
-    weight: the smaller of two weights is a sum over the columns that both have, and one column is the plain set.
+    weight: the smaller of two weights is a sum over the columns that both have.
     """
     sizes = [len(h) for h, _ in left + right]
     row = np.repeat(np.arange(len(sizes)), sizes)
-    pair = np.empty(len(row), [("h", np.uint64), ("w", np.float32)])
-    pair["h"], pair["w"] = (np.concatenate([v[k] for v in left + right]) for k in (0, 1))
-    kinds, kind = np.unique(pair, return_inverse=True)
-    begins = np.flatnonzero(np.r_[True, kinds["h"][1:] != kinds["h"][:-1]])
-    level = np.arange(len(kinds)) - np.repeat(begins, np.diff(np.r_[begins, len(kinds)]))
-    gain = kinds["w"].astype(np.float64)
-    gain[level > 0] -= kinds["w"][:-1].astype(np.float64)[level[1:] > 0]
+    h, w = (np.concatenate([v[k] for v in left + right]) for k in (0, 1))
+    order = np.lexsort((w, h))
+    h, w, row = h[order], w[order], row[order]
+    new_h = np.r_[True, h[1:] != h[:-1]]
+    new = new_h | np.r_[True, w[1:] != w[:-1]]
+    kind = np.cumsum(new) - 1
+    base = np.flatnonzero(new_h[new])[np.cumsum(new_h[new]) - 1]  # the first kind of each kind's shingle
+    weight_of = w[new].astype(np.float64)
+    level = np.arange(len(base)) - base
+    gain = weight_of.copy()
+    gain[level > 0] -= weight_of[:-1][level[1:] > 0]
     more = level[kind] + 1
-    rows, columns = np.repeat(row, more), np.repeat(kind - level[kind], more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-    held = np.bincount(columns, minlength=len(kinds)) > 1
+    rows, columns = np.repeat(row, more), np.repeat(base[kind], more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    held = np.bincount(columns, minlength=len(gain)) > 1
     use = held[columns]
     rows, columns = rows[use], (np.cumsum(held) - 1)[columns[use]]
-    gain, plain = gain[held], (level == 0)[held]
+    gain = gain[held]
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
     n, m = len(left), len(right)
-    weight, count = np.zeros((n, m)), np.zeros((n, m))
+    weight = np.zeros((n, m))
     for at in range(0, len(gain), COLUMNS):
         low, high = np.searchsorted(columns, (at, at + COLUMNS))
         ones = np.zeros((n + m, min(COLUMNS, len(gain) - at)))
         ones[rows[low:high], columns[low:high] - at] = 1
-        part = slice(at, at + COLUMNS)
-        weight += (ones[:n] * gain[part]) @ ones[n:].T
-        count += ones[:n, plain[part]] @ ones[n:, plain[part]].T
+        weight += (ones[:n] * gain[at : at + COLUMNS]) @ ones[n:].T
     total = np.array([w.sum(dtype=np.float64) for _, w in left + right])
-    size = np.array(sizes, np.float64)
-    return np.maximum(weight / (total[:n, None] + total[n:] - weight), count / (size[:n, None] + size[n:] - count))
+    return weight / (total[:n, None] + total[n:] - weight)
 
 
 def block_links(rest: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between members of one bucket that are of different classes: enough of them to join all that are linked.
 
-    rest: (key, n, node, class, h, w). A bucket is cut into blocks of about BLOCK members; each pair of blocks is one
-    group, in which every pair of members of different classes is compared by its vectors, until their classes are one.
+    rest: (key, blocks, node, class, h, w). A bucket is cut into blocks of about BLOCK members and BLOCK_BYTES; each pair of
+    blocks is one group, in which every pair of members of different classes is compared by its vectors, until their classes are one.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = rest.select("key", "node", "class", "h", "w", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "class", "h", "w").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -333,7 +476,7 @@ def block_links(rest: DataFrame, threshold: float) -> DataFrame:
         if not left or not right or len(names) < 2:
             return
         x, y = (np.array([names[m[2]] for m in side]) for side in (left, right))
-        a, b = ([(np.frombuffer(m[3], np.uint64), np.frombuffer(m[4], np.float32)) for m in side] for side in (left, right))
+        a, b = ([m[3] for m in side] for side in (left, right))
         least = threshold - 1e-6
         if len(a) * len(b) <= 16:
             near = np.array([[p != q and similarity(u, v) >= least for q, v in zip(y, b)] for p, u in zip(x, a)])
@@ -351,71 +494,67 @@ def block_links(rest: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members = None, []
-
-        def done(out: list) -> None:
-            if len(members) > 1:
-                out.extend(compare(group, members))
-
         for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for key, i, j, own, node, kind, h, w in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, i, j) != group:
-                    done(out)
-                    group, members = (key, i, j), []
-                members.append((own, node, kind, h, w))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
-        out = []
-        done(out)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+            for part in slices(batch, "h"):
+                found, held = [], _Vectors(part)
+                for n, (key, i, j, own, node, kind) in enumerate(zip(*(part.column(c).to_pylist() for c in ("key", "i", "j", "own", "node", "class")))):
+                    if (key, i, j) != group:
+                        if len(members) > 1:
+                            found.extend(compare(group, members))
+                        group, members = (key, i, j), []
+                    members.append((own, node, kind, held[n]))
+                yield _pairs(found)
+        yield _pairs(list(compare(group, members)) if len(members) > 1 else [])
 
     return spread.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, node, class_id, class_size, kept) of each row."""
-    spark = df.sparkSession
-    docs = texts_of(df, id_col, text_col).withColumn("node", node_of(F.col("text")))
-    sketch, n = frequency_sketch(docs)
-    idf = spark.sparkContext.broadcast(idf_table(sketch, n))
-    signed = written(signatures(docs, idf), "near-signatures")
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("keys").alias("keys")), "near-nodes")
-
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-keys")
-    buckets = written(keyed.join(shared, "key").select("key", "n", "node"), "near-buckets")
-    degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
-    heads = written(buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("head")), "near-heads")
-    first = written(buckets.join(heads, "key").filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-
-    involved = written(degree.select("node").join(nodes.select("node", F.col("first_id")), "node"), "near-involved")
-    few = involved.count() <= BROADCAST_NODES
-    wanted = involved.withColumnsRenamed({"node": "wanted", "first_id": "wanted_id"})
-    texts = docs.join(F.broadcast(wanted) if few else wanted, (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    vector = written(vectors(texts.select("node", "text"), idf), "near-vectors", compression="zstd")
-
-    links = written(verified(first, vector, threshold), "near-links")
-    member = written(buckets.join(components(links), "node", "left").select("key", "n", "node", F.coalesce("class", "node").alias("class")), "near-members")
-    # Buckets with the same members are one; a digest of 128 bits tells them apart.
-    digest = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.first("n").alias("n"))
-    torn = member.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *digest).filter("low != high")
-    torn = written(torn.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "near-torn")
-    rest = member.join(torn, "key").join(vector, "node").select("key", "n", "node", "class", "h", "w")
-    links = written(links.unionByName(block_links(rest, threshold)), "near-links")
-    label = components(links).withColumnRenamed("node", "labelled")
+def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, row_col: str | None = None) -> DataFrame:
+    """(doc_id, row_id, class_id, class_size, kept) of each row. row_id is row_col, a unique number of each row, or one of our own."""
+    spark, scratch = df.sparkSession, Scratch()
+    row_id = (F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()).alias("row_id")
+    docs = df.select(F.col(id_col).alias("doc_id"), row_id, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    made = scratch.written(entries(docs), "near-entries", compression="uncompressed")
+    rows = scratch.written(made.filter("rows is null").select("doc_id", "row_id", "node"), "near-rows")
+    entered = made.filter("rows is not null").drop("row_id")
+
+    sketch, n = frequency_sketch(entered)
+    idf = spark.sparkContext.broadcast(Idf(*common_shingles(entered, sketch, n), n))
+    signed = signatures(entered, idf)
+    nodes = scratch.written(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.sum("rows").alias("rows"), F.first("size").alias("size"), F.first("keys").alias("keys")), "near-nodes")
+
+    # Buckets of two or more; of buckets with the same members, which a digest of 128 bits shows, one.
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    digest = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") * 12 / BLOCK_BYTES)).cast("int").alias("blocks")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), blocks, *digest).filter("n > 1")
+    shared = scratch.written(shared.groupBy("n", "blocks", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "blocks"), "near-keys")
+    buckets = scratch.written(keyed.join(shared, "key").select("key", "n", "blocks", "node", "size"), "near-buckets")
+    degree = scratch.written(buckets.groupBy("node").agg(F.sum("n").alias("degree")), "near-degrees")
+    heads = buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("head"))
+    first = scratch.written(buckets.join(heads, "key").filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"), "size").distinct(), "near-pairs")
+
+    wanted = spark.sparkContext.broadcast(filters.build(degree, "node"))
+    vector = vectors(entered, idf, wanted).join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    vector = scratch.written(vector, "near-vectors", compression="uncompressed")
+
+    links = scratch.written(verified(first, vector, threshold, scratch), "near-links")
+    member = scratch.written(buckets.join(components(links, scratch), "node", "left").select("key", "blocks", "node", F.coalesce("class", "node").alias("class")), "near-members")
+    torn = member.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("key")
+    rest = member.join(scratch.written(torn, "near-torn"), "key").join(vector, "node").select("key", "blocks", "node", "class", "h", "w")
+    links = scratch.written(links.unionByName(block_links(rest, threshold)), "near-links")
+    label = components(links, scratch).withColumnRenamed("node", "labelled")
 
     classes = nodes.select("node", "first_id", "rows").join(label, F.col("node") == F.col("labelled"), "left").select("node", F.coalesce("class", "node").alias("class"), "first_id", "rows")
+    classes = scratch.written(classes, "near-classes")
     sizes = classes.groupBy("class").agg(F.min("first_id").alias("class_id"), F.sum("rows").alias("class_size"), F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "node"))).alias("keep"))
-    outcome = classes.join(sizes, "class").select("node", "class_id", "class_size", (F.coalesce(F.col("keep")["node"], F.col("class")) == F.col("node")).alias("own"))
-    rows = signed.select("doc_id", "node", F.monotonically_increasing_id().alias("uid"))
+    outcome = scratch.written(classes.join(sizes, "class").select("node", "class_id", "class_size", (F.coalesce(F.col("keep")["node"], F.col("class")) == F.col("node")).alias("own")), "near-outcome")
     # Of the kept node's rows, one with the class's id: a node's rows are many only if a text is repeated with one id.
-    rows = rows.withColumnRenamed("node", "row_node").join(outcome, F.col("row_node") == F.col("node")).withColumn("might", F.col("own") & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    one = rows.filter("might").groupBy("node").agg(F.min("uid").alias("uid")).select("uid", F.lit(True).alias("one"))
-    return rows.join(one, "uid", "left").select("doc_id", "node", "class_id", "class_size", F.coalesce("one", F.lit(False)).alias("kept"))
-
-
-def node_of(text):
-    """A digest of the words: texts that differ in white space alone are one node."""
-    return F.unhex(F.md5(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))))
+    one = rows.join(outcome.filter("own"), "node").filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("node").agg(F.min("row_id").alias("row"))
+    one = scratch.written(one.select(F.col("node").alias("kept_node"), "row"), "near-kept")
+    scratch.done(rows, outcome, one)
+    out = rows.join(outcome, "node").join(one, (F.col("node") == F.col("kept_node")) & (F.col("row_id") == F.col("row")), "left")
+    return out.select("doc_id", "row_id", "class_id", "class_size", F.col("row").isNotNull().alias("kept"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
