@@ -27,16 +27,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate class, the one with the smallest doc_id."""
-    classes = written(near_dedup.near_classes(docs), "near-classes")
-    kept = classes.filter("kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
-    keyed = docs.withColumn("__row_node", near_dedup.node_of(F.coalesce(F.col("text"), F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row_node") == F.col("__node"))
-    # Rows alike in id and text can't be told apart by these; only if there are any, one of each is picked.
-    twice = classes.groupBy("doc_id", "node").agg(F.count("*").alias("n")).filter("n > 1")
-    out = keyed.join(kept, same, "left_semi")
-    if not twice.isEmpty():
-        out = out.dropDuplicates(["doc_id", "__row_node"])
-    return out.select(docs.columns)
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    kept = near_dedup.near_classes(rows, row_col="__row").filter("kept").select(F.col("row_id").alias("__kept"))
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
