@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tidewater.llm import pii
@@ -66,13 +67,73 @@ def test_small_spaces_collide_and_are_kept_apart(spark, monkeypatch, bound):
     assert bound or pii.later_attempts(known, "tidewater").count() > 0
 
 
-def test_surrogates_run_out(spark, monkeypatch):
-    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 2)
+def test_a_kind_whose_first_attempts_are_all_taken(spark):
+    """All 1,000 addresses of this form, all 26 local parts of one letter, and two domains that only differ in one letter."""
+    texts = [f"{a}.{b}.{c}.1" for a in range(10) for b in range(10) for c in range(10)]
+    texts += [f"{c}@{d}.com" for c in "abcdefghijklmnopqrstuvwxyz" for d in "xy"]
+    got = replaced(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    new = [got[i].text for i in range(len(texts))]
+    assert len(set(new)) == len(texts) and not set(new) & set(texts)
+    domains = {(old.split("@")[1], x.split("@")[1]) for old, x in zip(texts[1000:], new[1000:])}
+    assert len(domains) == 2 and len({d for _, d in domains}) == 2
+
+
+def test_attempts_that_do_not_suffice(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 1)
     df = spark.createDataFrame([(f"{a}.{b}.{c}.1",) for a in range(10) for b in range(10) for c in range(10)], "text string")
     with pytest.raises(RuntimeError):
         pii.replace(df).count()
 
 
+def test_long_addresses_do_not_recurse(spark):
+    texts = ["a@b" + ".c1" * 4000 + ".com x", "a@b" + ".c1" * 60 + ".com x", "x" * 100_000 + "@" + "y." * 50_000, "Mr " + "A" * 50_000 + " B", "a@" + "b" * 80 + ".com", "m@" + "d." * 120 + "com"]
+    got = replaced(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert [got[i].text == t for i, t in enumerate(texts)] == [True, False, True, False, True, False]
+
+
+def test_names_that_were_introduced(spark):
+    texts = ["Mr John Smith came. John Smith left, Smith too; JOHN SMITH and Johnny Smith stay.", "John Smith has no title here.", "Dr Ada Lovelace-King met Mrs Eva Long; Ada Lovelace-King, Eva Long."]
+    got = replaced(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    m = re.fullmatch(r"Mr (\w+ \w+) came\. (\w+ \w+) left, Smith too; JOHN SMITH and Johnny Smith stay\.", got[0].text)
+    assert m and m[1] == m[2] != "John Smith" and got[0].found.name == 2 and got[1].text == texts[1]
+    m = re.fullmatch(r"Dr (\w+ [\w-]+) met Mrs (\w+ \w+); (\w+ [\w-]+), (\w+ \w+)\.", got[2].text)
+    assert m and m[1] == m[3] and m[2] == m[4] and m[1].split()[0][-1] == "e" and m[2].split()[0][-1] == "a"
+
+
+def test_like_an_interpreter(spark, docs, rows, edges):
+    """Every text is its own with each mention replaced, by one surrogate for one entity of the same kind, and by no other's."""
+    kinds = {"email": pii.EMAIL, "ip": pii.IP, "phone": pii.PHONE, "ssn": pii.SSN, "card": pii.CARD, "name": pii.NAME}
+    pattern = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in kinds.items()))
+    df = docs.select("doc_id", "text").unionByName(rows.select(F.col("doc_id") + 10**6, "text").toDF("doc_id", "text")).unionByName(edges.filter("doc_id > 5 and doc_id != 13").select(F.col("doc_id") + 2 * 10**6, "text").toDF("doc_id", "text"))
+    got = {r.doc_id: r for r in pii.replace(df).collect()}
+    surrogates = {}
+    for r in df.collect():
+        old, new = r.text or "", got[r.doc_id].text or ""
+        at = last = 0
+        numbers = Counter()
+        for m in pattern.finditer(old):
+            kind = m.lastgroup
+            gap = old[last : m.start()]
+            assert new.startswith(gap, at)
+            made = regex.compile(kinds[kind].replace(r"(?<![A-Za-z0-9._%+-])", "")).match(new, at + len(gap))
+            assert made, (kind, m[0], new[at : at + 60])
+            title, was, now = "", m[0], made[0]
+            if kind == "name":
+                title, was = re.match(pii.TITLE, was)[1], re.sub(pii.TITLE, "", was)
+                assert now.startswith(title)
+                now = re.sub(pii.TITLE, "", now)
+                assert len(now.split()) == len(was.split())
+                title = "m" if title in pii.MALE else "f" if title in pii.FEMALE else "n"
+            form = lambda x: re.sub("[^0-9+]", "", x) if kind in ("phone", "ssn", "card") else x.lower()  # noqa: E731, B023
+            assert surrogates.setdefault((kind, title, form(was)), form(now)) == form(now)
+            at, last = at + len(gap) + len(made[0]), m.end()
+            numbers[kind] += 1
+        assert new[at:] == old[last:] and [numbers[k] for k in pii.KINDS] == list(got[r.doc_id].pii)
+    by_kind = Counter(k for k, _, _ in surrogates)
+    assert all(len({v for (x, _, _), v in surrogates.items() if x == k}) == n for k, n in by_kind.items()) and len(by_kind) == 6
+    assert not {(k, v) for (k, _, _), v in surrogates.items()} & {(k, f) for k, _, f in surrogates}
+
+
 def test_query_on_whole_table(spark, docs, edges, empty):
     got = {r.doc_id: r for r in pii.op9_pii(spark, SF).collect()}
     before, after = set(), set()
