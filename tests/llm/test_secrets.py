@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -42,6 +43,18 @@ def test_like_brute_force(spark, docs, edges, empty):
     assert secrets.report(secrets.scan(empty)).count() == 0
 
 
+def test_long_candidates_and_many_matches(spark):
+    """Work grows with the length: a candidate of 300,000 characters, and 20,000 matches in one text."""
+    rnd = random.Random(4)
+    key = "".join(rnd.choice(secrets.ALPHABET) for _ in range(300_000))
+    texts = [key, "a1" * 20_000, " ".join(f"token=abcde{i}" for i in range(20_000))]
+    got = {r.doc_id: r for r in secrets.report(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert got[0].n_entropy == 1 and got[1].n_entropy == 0 and got[2].n_assign == 20_000
+    assert tuple(got[2])[1:] == brute(texts[2]) and tuple(got[0])[1:3] == brute(key)[:2]
+    start, end = map(int, got[0].spans.split("entropy:")[1].split(",")[0].split(":"))
+    assert 0 <= start < 200 and len(key) - 200 < end <= len(key)
+
+
 def test_sql_gives_the_same(spark, docs, table_dir):
     rows = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     sf = table_dir(documents=rows)

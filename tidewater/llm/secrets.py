@@ -2,13 +2,15 @@
 
 Base spans: assignments of a value to a name such as password or token, access key ids, and long hexadecimal runs.
 The method adds spans of high entropy: over each candidate, a run of 20 or more characters that keys are written in, a
-window of 20 slides, and the Shannon entropy in it is kept up to date by counts: a character that leaves or enters
-changes the sum of c log2 c by an amount that depends on its own count alone. The threshold depends on the class of
-characters. What reaches from the first to the last window over the threshold is the span, unless the candidate is
+window of 20 slides, and the Shannon entropy in it is kept up to date by counts that go along from window to window: a
+character that leaves or enters changes its own count by one, and the sum of c log2 c by an amount that depends on that
+count alone. The sum is kept in whole units of 2^-40 bits, so it can't drift. The threshold depends on the class of
+characters. A candidate is split into characters once, so the work grows with its length. What reaches from the first to the last window over the threshold is the span, unless the candidate is
 on the allow-list or within a base span.
 
 Positions count code points; a span's end is exclusive. Matches are found by regexp_extract_all and the text between
-them by split, with the same pattern, so that lengths add up to positions.
+them by split, with the same pattern, so that lengths add up to positions. They are added up in blocks of about the square
+root of their number, as each step of a fold copies what it has so far.
 
 Defined results: a null text counts as empty and has no spans; a null id stays null; equal rows each give a row; other
 columns are ignored; an empty table gives an empty table.
@@ -28,6 +30,8 @@ ASSIGN = rf"""(?i:({NAMES}))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: The characters of a candidate.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Words and paths of words have none of these: digits, capitals within a word.
 MIXED = r"[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]"
 #: Runs that are known to be harmless: stand-ins, counting sequences, numbers, UUIDs.
@@ -59,8 +63,28 @@ def _walk(found: Column, kind: int, keep, extra=None) -> Column:
         more = F.when(keep(x["value"]), F.array(F.struct(*fields))).otherwise(none)
         return F.struct(end.alias("at"), F.concat(done["spans"], more).alias("spans"))
 
-    matches = F.filter(found, lambda x: x["match"].isNotNull())
-    return F.aggregate(matches, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
+    def block(matches: Column) -> Column:
+        return F.aggregate(matches, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
+
+    def moved(span: Column, by: Column) -> Column:
+        return F.struct((span["start"] + by).alias("start"), span["kind"].alias("kind"), (span["end"] + by).alias("end"), *([span["value"].alias("value")] if extra else []))
+
+    def joined(matches: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(matches))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(matches) / size).cast("int") - 1), lambda b: block(F.slice(matches, b * size + 1, size)))
+
+        def placed(blocks: Column) -> Column:
+            before = lambda b: F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), lambda total, x: total + x["at"])
+            return F.flatten(F.transform(blocks, lambda x, b: _let(before(b), lambda by: F.transform(x["spans"], lambda span: moved(span, by)))))
+
+        return F.when(F.size(matches) > 0, _let(blocks, placed)).otherwise(none)
+
+    return _let(F.filter(found, lambda x: x["match"].isNotNull()), joined)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _if_any(text: Column, hint: str, spans: Column, kind: str = _SPANS) -> Column:
@@ -68,36 +92,50 @@ def _if_any(text: Column, hint: str, spans: Column, kind: str = _SPANS) -> Colum
     return F.when(text.rlike(hint), spans).otherwise(F.array().cast(kind))
 
 
+UNIT = 2.0**40
+
+
 def _growth(count: Column) -> Column:
-    """By how much c log2 c grows as c comes to be count."""
-    table = F.array(*(F.lit(c * math.log2(c) - ((c - 1) * math.log2(c - 1) if c > 1 else 0.0)) for c in range(1, WINDOW + 1)))
+    """By how much c log2 c grows as c comes to be count, in units."""
+    table = F.array(*(F.lit(round(UNIT * (c * math.log2(c) - ((c - 1) * math.log2(c - 1) if c > 1 else 0.0)))).cast("long") for c in range(1, WINDOW + 1)))
     return F.element_at(table, count)
 
 
-def _count(window: Column, char: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, char, F.lit("")))
+def _changed(counts: Column, at: Column, by: int) -> Column:
+    """counts with the one at a place changed."""
+    return F.concat(F.slice(counts, F.lit(1), at - 1), F.array(F.element_at(counts, at) + by), F.slice(counts, at + 1, F.lit(len(ALPHABET))))
 
 
 def _hot(candidate: Column) -> Column:
     """(first, last): where the first window over the threshold begins in a candidate and the last one ends; first is -1 if there is none."""
+    symbols = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    bits = F.when(candidate.rlike(HEX_CLASS), HEX_BITS).otherwise(OTHER_BITS)
+    none = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("i"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
 
-    def change(i: Column) -> Column:
-        entering = F.substring(candidate, i + 1, F.lit(1))
-        full = i >= WINDOW
-        window = F.substring(candidate, F.greatest(i - WINDOW, F.lit(0)) + 1, F.least(i, F.lit(WINDOW)))
-        rest = F.substring(candidate, F.greatest(i - WINDOW + 1, F.lit(0)) + 1, F.least(i, F.lit(WINDOW - 1)))
-        leaving = F.substring(candidate, i - WINDOW + 1, F.lit(1))
-        return _growth(_count(rest, entering) + 1) - F.when(full, _growth(_count(window, leaving))).otherwise(0.0)
+    def scan(x: Column) -> Column:
+        # The sum that a window of this class may have at most.
+        most = F.floor((F.lit(math.log2(WINDOW)) - x["bits"]) * WINDOW * UNIT)
 
-    bits = F.when(candidate.rlike(HEX_CLASS), HEX_BITS).otherwise(OTHER_BITS)
-    changes = F.transform(F.sequence(F.lit(0), F.length(candidate) - 1), lambda i: F.struct(i.alias("i"), change(i).alias("by"), bits.alias("bits")))
+        def step(done: Column, entering: Column) -> Column:
+            i = done["i"]
+            # The one that leaves goes first; before the window is full, none does.
+            leaving = F.when(i >= WINDOW, F.element_at(x["symbols"], F.greatest(i - WINDOW, F.lit(0)) + 1))
+            left = F.when(leaving.isNull(), done["counts"]).otherwise(_changed(done["counts"], leaving, -1))
+            less = F.when(leaving.isNull(), F.lit(0).cast("long")).otherwise(_growth(F.element_at(done["counts"], leaving)))
 
-    def step(done: Column, x: Column) -> Column:
-        total = done["total"] + x["by"]
-        hot = (x["i"] >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= x["bits"])
-        return F.struct(total.alias("total"), F.when(hot & (done["first"] < 0), x["i"] - WINDOW + 1).otherwise(done["first"]).alias("first"), F.when(hot, x["i"] + 1).otherwise(done["last"]).alias("last"))
+            def entered(counts: Column) -> Column:
+                total = done["total"] - less + _growth(F.element_at(counts, entering) + 1)
+                hot = (i >= WINDOW - 1) & (total <= most)
+                return F.struct(
+                    _changed(counts, entering, 1).alias("counts"), total.alias("total"), (i + 1).alias("i"),
+                    F.when(hot & (done["first"] < 0), i - WINDOW + 1).otherwise(done["first"]).alias("first"), F.when(hot, i + 1).otherwise(done["last"]).alias("last"),
+                )
+
+            return _let(left, entered)
+
+        return F.aggregate(x["symbols"], none, step, lambda done: F.struct(done["first"].alias("first"), done["last"].alias("last")))
 
-    return F.aggregate(changes, F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last")), step, lambda done: F.struct(done["first"].alias("first"), done["last"].alias("last")))
+    return _let(F.struct(symbols.alias("symbols"), bits.alias("bits")), scan)
 
 
 def _joined(spans: Column) -> Column:
