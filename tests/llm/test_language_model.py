@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewater.llm import language_model as lm
@@ -61,9 +62,10 @@ def same(got, rows):
     return brute
 
 
-@pytest.mark.parametrize("range_bytes", [32 << 20, 20_000])
-def test_query_like_dictionaries(spark, docs, edges, table_dir, monkeypatch, range_bytes):
+@pytest.mark.parametrize("range_bytes,fan", [(32 << 20, 256), (20_000, 256), (20_000, 2)])
+def test_query_like_dictionaries(spark, docs, edges, table_dir, monkeypatch, range_bytes, fan):
     monkeypatch.setattr(lm, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(lm, "FAN", fan)
     rows = docs.select("doc_id", "text").limit(120).unionByName(edges.select("doc_id", "text"))
     sf = table_dir(documents=rows)
     got = lm.op8_language_model(spark, sf).collect()
@@ -81,12 +83,39 @@ def test_frequent_words_are_dealt_out(spark, monkeypatch):
     assert len(model.wide) >= 1 and model.parts > 5
     brute = Brute([r.text for r in rows.collect()])
     text = "the w3 w5 the the zzz w3"
-    got = lm.score_batch(model, [text, ""], lm.HashCache())
+    got = lm.score_batch(model, pa.array([text, ""]))
     assert np.allclose([got["score"][0], got["score"][1]], [brute.score(text)[3], brute.score("")[3]])
 
 
 def test_no_training_rows_and_empty(spark, empty, table_dir):
     model = lm.train(texts_of(empty, "doc_id", "text"), scratch_path(spark, "model"))
-    got = lm.score_batch(model, ["a b", ""], lm.HashCache())
+    got = lm.score_batch(model, pa.array(["a b", ""]))
     assert got["score"].tolist() == [0, 0] and got["n_tokens"].tolist() == [3, 1] and got["base_score"].tolist() == [0, 0]
     assert lm.op8_language_model(spark, table_dir(documents=empty)).count() == 0
+
+
+def test_counts_that_32_bits_cannot_hold(spark, monkeypatch):
+    """With a smaller most, so that a few repeats are over it: they are read from 64 bits."""
+    monkeypatch.setattr(lm, "MOST", 5)
+    rows = spark.createDataFrame([(i, "a b c " * 20) for i in range(40)], "doc_id long, text string")
+    model = lm.train(texts_of(rows, "doc_id", "text"), scratch_path(spark, "model"))
+    brute = Brute([r.text for r in rows.collect()])
+    got = lm.score_batch(model, pa.array(["a b c a b x"]))
+    assert np.isclose(got["score"][0], brute.score("a b c a b x")[3])
+
+
+def test_tokens_like_words():
+    texts = ["", " a", "A b\tC", "x" * 9000 + " É é", "a\x1cb \u3000 c"]
+    h, n = lm.tokens(pa.array(["q"] + texts)[1:])
+    of, at = {}, 0
+    for t, k in zip(texts, n.tolist()):
+        assert k == len(words(t))
+        for w, x in zip(words(t), h[at : at + k].tolist()):
+            assert of.setdefault(w, x) == x
+        at += k
+    assert at == len(h) and len(set(of.values())) == len(of)
+
+
+def test_folders_that_hadoop_names():
+    system, path = lm._system("s3a://key:secret@bucket/folder?region=us-east-1")
+    assert system.type_name == "s3" and path == "bucket/folder"

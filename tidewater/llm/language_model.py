@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,34 +35,27 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_batches, plus, read_table, scratch_path, texts_of
+from .base import discard, map_batches, plus, read_table, scratch_path, slices, texts_of
+from .textbytes import words
 
 END, BEGIN = xxhash.xxh3_64_intdigest(b""), xxhash.xxh3_64_intdigest(b"\n")
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of training text for each range of keys, and tokens that a task holds before it reduces them.
 RANGE_BYTES, HELD_TOKENS = 32 << 20, 2_000_000
 UNKNOWN = np.uint64(0xFFFFFFFF)
+#: Counts from here on are kept apart, in 64 bits.
+MOST = 0xFFFFFFFF
+#: Runs of ranges to which a task sends blocks: beyond as many ranges they are dealt in more than one step.
+FAN = 256
 
 
-class HashCache(dict):
-    """word -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def tokens(texts: list[str], cache: HashCache) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text ended by END, and the number of tokens of each."""
-    out: list[int] = []
-    ends = []
-    for text in texts:
-        out.extend(map(cache.__getitem__, text.encode("utf-8", "surrogatepass").lower().split()))
-        out.append(END)
-        ends.append(len(out))
-    return np.array(out, np.uint64), np.diff(np.array([0, *ends]))
+    h, first = words(texts)
+    n = np.diff(first)
+    out = np.full(len(h) + len(texts), np.uint64(END))
+    out[np.arange(len(h)) + np.repeat(np.arange(len(texts)), n)] = h
+    return out, n + 1
 
 
 def reduced(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +102,9 @@ def _small(values: np.ndarray) -> bytes:
     return values.astype("<u4").tobytes()
 
 
-def _blocks(kind: str, parts: np.ndarray, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """One row for each part with its keys and values, which are sorted within each part."""
+def _blocks(kind: str, parts: np.ndarray, keys: np.ndarray, values: np.ndarray, step: int = 1) -> pa.RecordBatch:
+    """One row for each run of `step` parts, under the first of them, with its keys and values, in the order that they have."""
+    parts = parts // step * step
     order = np.argsort(parts, kind="stable")
     parts, keys, values = parts[order], keys[order], values[order]
     at, first = np.unique(parts, return_index=True)
@@ -125,6 +120,8 @@ BLOCKS = "kind string, part int, keys binary, counts binary"
 
 
 def _system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a folder that Hadoop's names, too: s3a and s3n are s3 to it."""
+    uri = re.sub("^s3[an]:", "s3:", uri)
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
@@ -141,7 +138,7 @@ def _put(folder: str, name: str, *arrays: np.ndarray) -> None:
 
 @functools.lru_cache(maxsize=4096)
 def _mapped(folder: str, name: str) -> np.ndarray:
-    """The bytes of a file, memory-mapped. A folder that isn't mounted is copied once a worker, file by file."""
+    """The bytes of a file, memory-mapped. Files of a folder that isn't mounted are read into ones without a name, which go with the worker."""
     system, path = _system(folder)
     if not isinstance(system, fs.LocalFileSystem):
         held = tempfile.NamedTemporaryFile(prefix="tidewater-")
@@ -231,7 +228,12 @@ class Model:
             raw = _mapped(self.folder, f"pairs-{p}")
             n = len(raw) // 12
             at, there = _find(raw[: 8 * n].view("<u8"), keys[own])
-            out[own[there]] = raw[8 * n :].view("<u4")[at[there]]
+            counts = raw[8 * n :].view("<u4")[at[there]].astype(np.int64)
+            if (large := np.flatnonzero(counts == MOST)).size:
+                raw = _mapped(self.folder, f"large-{p}")
+                n = len(raw) // 16
+                counts[large] = raw[8 * n :].view("<i8")[_find(raw[: 8 * n].view("<u8"), keys[own[there][large]])[0]]
+            out[own[there]] = counts
         return out
 
 
@@ -248,8 +250,24 @@ def _count_of_counts(counts: np.ndarray) -> np.ndarray:
     return np.array([np.count_nonzero(counts == k) for k in (1, 2, 3, 4)], np.int64)
 
 
-def _merged(blocks: DataFrame, finish) -> DataFrame:
-    """Sends all blocks of a part to one task, which calls finish(kind, part, keys, counts) for each; it gives record batches of BLOCKS or numbers."""
+def first_step(parts: int) -> int:
+    """How many ranges a block is for at first, so that a task makes no more than FAN blocks."""
+    step = 1
+    while step * FAN < parts:
+        step *= FAN
+    return step
+
+
+def _merged(blocks: DataFrame, parts: int, part_of, finish) -> DataFrame:
+    """Sends all blocks of a part to one task, which calls finish(kind, part, keys, counts) for each; it gives record batches of BLOCKS or numbers.
+
+    Blocks come by first_step(parts) ranges. While that is more than one, they are dealt among tasks that cut them by a
+    FANth of it, with part_of(kind, keys). So the number of blocks grows with the corpus, and not with its square.
+    """
+    step = first_step(parts)
+    while step > 1:
+        step //= FAN
+        blocks = blocks.withColumn("salt", F.spark_partition_id() % FAN).repartition("kind", "part", "salt").drop("salt").mapInArrow(_cut(part_of, step), BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, counts = None, [], []
@@ -267,7 +285,20 @@ def _merged(blocks: DataFrame, finish) -> DataFrame:
                 counts.append(np.frombuffer(c, "<u4").astype(np.int64))
         yield from done()
 
-    return blocks.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(run, BLOCKS)
+    return blocks.repartition(max(1, parts), "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(run, BLOCKS)
+
+
+def _cut(part_of, step: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, list] = {}
+            for kind, k, c in zip(*(batch.column(i).to_pylist() for i in ("kind", "keys", "counts"))):
+                held.setdefault(kind, []).append((np.frombuffer(k, "<u8"), np.frombuffer(c, "<u4")))
+            for kind, found in held.items():
+                keys, counts = (np.concatenate(x) for x in zip(*found))
+                yield _blocks(kind, part_of(kind, keys), keys, counts, step)
+
+    return run
 
 
 def _numbers(kind: str, part: int, values: np.ndarray) -> pa.RecordBatch:
@@ -280,18 +311,26 @@ def train(docs: DataFrame, folder: str) -> Model:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // RANGE_BYTES))
     model = Model(folder, np.zeros(parts + 1, np.int64), wide=np.zeros(0, np.int64))
+    step = first_step(parts)
+
+    def part_of(kind: str, keys: np.ndarray) -> np.ndarray:
+        if kind == "words":
+            return model.part_of_hash(keys)
+        if kind == "pairs":
+            return model.part_of_pair(keys)
+        return np.searchsorted(model.starts, (keys >> np.uint64(2) if kind == "sums" else keys).astype(np.int64), "right") - 1
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, tally = HashCache(), Tally()
+    def word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
 
         def flush() -> pa.RecordBatch:
             keys, counts = tally.take()
             keys, counts = reduced(np.append(keys, np.uint64(BEGIN)), np.append(counts, 0))
-            return _blocks("words", model.part_of_hash(keys), keys, counts)
+            return _blocks("words", part_of("words", keys), keys, counts, step)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                if tally.add(tokens(batch.slice(at, 256).column("text").to_pylist(), cache)[0]):
+            for piece in slices(batch, "text"):
+                if tally.add(tokens(piece.column("text"))[0]):
                     yield flush()
         yield flush()
 
@@ -303,7 +342,7 @@ def train(docs: DataFrame, folder: str) -> Model:
         yield _numbers("size", part, [len(keys), int(counts.sum()), int(np.count_nonzero(counts)), *wide])
 
     # One row a range; the frequent words are at most four a range.
-    found = {r.part: np.frombuffer(r["keys"], "<i8") for r in _merged(docs.select("text").mapInArrow(words, BLOCKS), put_words).collect()}
+    found = {r.part: np.frombuffer(r["keys"], "<i8") for r in _merged(docs.select("text").mapInArrow(word_blocks, BLOCKS), parts, part_of, put_words).collect()}
     for part in range(parts):
         if part not in found:
             _put(folder, f"words-{part}")
@@ -314,33 +353,36 @@ def train(docs: DataFrame, folder: str) -> Model:
         raise OverflowError("more distinct words than 32 bits can number")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, tally = HashCache(), Tally()
+        tally = Tally()
 
         def flush() -> pa.RecordBatch:
             keys, counts = tally.take()
-            return _blocks("pairs", model.part_of_pair(keys), keys, counts)
+            return _blocks("pairs", part_of("pairs", keys), keys, counts, step)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                if tally.add(pair_keys(model, *tokens(batch.slice(at, 256).column("text").to_pylist(), cache))[0]):
+            for piece in slices(batch, "text"):
+                if tally.add(pair_keys(model, *tokens(piece.column("text")))[0]):
                     yield flush()
         yield flush()
 
     def put_pairs(kind: str, part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _put(folder, f"pairs-{part}", keys.astype("<u8"), np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
+        if (large := counts >= MOST).any():
+            _put(folder, f"large-{part}", keys[large].astype("<u8"), counts[large].astype("<i8"))
+        _put(folder, f"pairs-{part}", keys.astype("<u8"), np.minimum(counts, MOST).astype("<u4"))
         yield _numbers("pair-counts", part, [len(keys), *_count_of_counts(counts)])
         after, n = np.unique(keys & UNKNOWN, return_counts=True)
-        yield _blocks("before", np.searchsorted(model.starts, after.astype(np.int64), "right") - 1, after, n)
+        yield _blocks("before", part_of("before", after), after, n, step)
         if not len(keys):
             return
         # Sums of each first word: of its counts, and how many are 1, 2, and 3 or more; the key has which sum in its low bits.
         first, at = np.unique(keys >> np.uint64(32), return_index=True)
         for which, values in enumerate((counts, counts == 1, counts == 2, counts >= 3)):
             sums = np.add.reduceat(values.astype(np.int64), at)
-            while len(big := np.flatnonzero(sums > 0xFFFFFFFF)):  # in steps that 32 bits can hold
-                yield _blocks("sums", np.searchsorted(model.starts, first[big].astype(np.int64), "right") - 1, first[big] << np.uint64(2) | np.uint64(which), np.full(len(big), 0xFFFFFFFF))
-                sums[big] -= 0xFFFFFFFF
-            yield _blocks("sums", np.searchsorted(model.starts, first.astype(np.int64), "right") - 1, first << np.uint64(2) | np.uint64(which), sums)
+            own = first << np.uint64(2) | np.uint64(which)
+            while len(big := np.flatnonzero(sums > MOST)):  # in steps that 32 bits can hold
+                yield _blocks("sums", part_of("sums", own[big]), own[big], np.full(len(big), MOST), step)
+                sums[big] -= MOST
+            yield _blocks("sums", part_of("sums", own), own, sums, step)
 
     def put_sums(kind: str, part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if kind == "pair-counts":
@@ -356,14 +398,16 @@ def train(docs: DataFrame, folder: str) -> Model:
             out[(keys >> np.uint64(2)).astype(np.int64) - model.starts[part], (keys & np.uint64(3)).astype(np.int64)] = counts
             _put(folder, f"sums-{part}", out)
 
-    counted = _merged(docs.select("text").mapInArrow(pairs, BLOCKS), put_pairs)
+    counted = _merged(docs.select("text").mapInArrow(pairs, BLOCKS), parts, part_of, put_pairs)
     spark = docs.sparkSession
     # Written, since its tasks make shards: what follows reads their rows and runs none of them again.
     table = scratch_path(spark, "model-blocks")
     counted.write.parquet(table)
     counted = spark.read.schema(BLOCKS).parquet(table)
+    counted._tidewater_path = table
     low = np.sum([np.frombuffer(r["keys"], "<i8") for r in counted.filter("kind = 'pair-counts'").collect()], axis=0) if parts else np.zeros(5)
-    high = np.sum([np.zeros(5, np.int64), *(np.frombuffer(r["keys"], "<i8") for r in _merged(counted.filter("kind != 'pair-counts'"), put_sums).collect())], axis=0)
+    high = np.sum([np.zeros(5, np.int64), *(np.frombuffer(r["keys"], "<i8") for r in _merged(counted.filter("kind != 'pair-counts'"), parts, part_of, put_sums).collect())], axis=0)
+    discard(counted)
     system, path = _system(folder)
     there = {os.path.basename(f.path) for f in system.get_file_info(fs.FileSelector(path))}
     for part in range(parts):
@@ -394,9 +438,9 @@ def _less(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(counts - np.array([0.0, *d])[np.minimum(counts, 3)], 0)
 
 
-def score_batch(model: Model, texts: list[str], cache: HashCache) -> dict[str, np.ndarray]:
+def score_batch(model: Model, texts: pa.Array) -> dict[str, np.ndarray]:
     """Numbers of tokens and known tokens, and both scores, of each text."""
-    hashes, n = tokens(texts, cache)
+    hashes, n = tokens(texts)
     keys, ids = pair_keys(model, hashes, n)
     known = ids != UNKNOWN
     words, back = np.unique(ids[known], return_inverse=True)
@@ -427,16 +471,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        cache = HashCache()
-
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = score_batch(shared.value, batch.column("text").to_pylist(), cache)
+            found = score_batch(shared.value, batch.column("text"))
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, found.values())], names=["doc_id", "held_out", *found])
 
         return one
 
     schema = plus(docs.select("doc_id", "held_out"), "n_tokens long, n_known long, base_score double, score double")
-    return map_batches(docs, make, schema, rows=256).withColumn("train_tokens", F.lit(model.total).cast("long"))
+    return map_batches(docs, make, schema, 512, "text").withColumn("train_tokens", F.lit(model.total).cast("long"))
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
