@@ -3,9 +3,11 @@
 Statistics are transformed to be near normal: logarithms of lengths, square roots of shares. Each class has a mean and
 a covariance, shrunk to the pooled one and then to its diagonal. The covariances are factored once, and the workers
 hold the factors; the score is the logistic of the difference of the classes' log densities, from Mahalanobis distances
-by way of these factors, and their log priors, divided by TEMPERATURE.
+by way of these factors, and their log priors, divided by a temperature.
 
-What is learned comes from sums over all labelled rows of the training folds, added up in Spark; no row is sampled.
+What is learned comes from sums over all labelled rows of the training folds, added up in Spark; no row is sampled. How
+far the covariances are shrunk, and the temperature, is learned too: for each choice of CHOICES a model is made without
+one of the training folds, in turn, and the choice with the least log loss on the folds left out is taken.
 Neither labels nor language, source or id are among the statistics.
 
 Defined results: a null text counts as empty and is scored like any; a null id belongs to the held-out fold; equal rows
@@ -24,14 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_batches, plus, read_table, texts_of, written
+from .base import discard, map_batches, plus, read_table, texts_of, written
 
 #: Frequent function words of the languages of the corpus.
 FUNCTION_WORDS = frozenset("the of and to in is that it for on with as by this be are at from or an not a le la les de des du et en un une que qui pour dans est pas par sur au avec ce il elle der die das und von zu mit den dem ist im auf für nicht ein eine sich el los las y del se por con una su para al es lo como".split())
 FEATURES = ["bytes", "words", "upper", "digits", "symbols", "punctuation", "distinct", "repeats", "function", "capitals", "alphabetic", "lines", "same_lines", "word_mean", "word_spread", "stops", "entropy", "word_most"]
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
-TO_POOLED, TO_DIAGONAL, TEMPERATURE = 0.3, 0.05, 4.0
+#: Shrinkage to the pooled covariance and to the diagonal; the first is used where folds can't be left out.
+CHOICES = [(a, b) for a in (0.3, 0.1, 0.6, 0.9) for b in (0.05, 0.2, 0.5)]
+TEMPERATURES = (4.0, 1.0, 2.0, 8.0)
+#: Labels that go along with every task, 8 bytes each; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 
 _CLASS = np.full(256, 7)
 for _kind, _chars in ((1, "abcdefghijklmnopqrstuvwxyz"), (2, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (3, "0123456789"), (4, " \t\r\x0b\x0c"), (5, "\n"), (6, ".,;:'\"?-()")):
@@ -66,13 +72,18 @@ class Discriminant:
     """For class 0 and 1: mean, inverse of the covariance's Cholesky factor, log of its root determinant less log prior. None: no examples."""
 
     classes: tuple
+    temperature: float = TEMPERATURES[0]
+
+    def against(self, x: np.ndarray) -> np.ndarray:
+        """The log odds of class 0, before the temperature."""
+        bad, good = ([-0.5 * (((x - mean) @ inverse.T) ** 2).sum(1) - rest for mean, inverse, rest in self.classes])
+        return bad - good
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         bad, good = self.classes
         if bad is None or good is None:
             return np.full(len(x), 0.0 if good is None and bad is not None else 1.0)
-        log_density = [-0.5 * (((x - mean) @ inverse.T) ** 2).sum(1) - rest for mean, inverse, rest in (bad, good)]
-        return 1 / (1 + np.exp(np.clip((log_density[0] - log_density[1]) / TEMPERATURE, -500, 500)))
+        return 1 / (1 + np.exp(np.clip(self.against(x) / self.temperature, -500, 500)))
 
 
 def fold(doc_id: Column) -> Column:
@@ -93,27 +104,22 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return map_batches(docs, make, plus(docs.select("doc_id"), "x array<double>"))
 
 
-def fit(x: DataFrame, labels: DataFrame) -> Discriminant:
-    """Learns from (doc_id, x) and (doc_id, quality), without the held-out fold."""
-    labels = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
-    rows = x.filter(fold(F.col("doc_id")) != HELD_OUT).join(labels, "doc_id").select("label", "x")
-    d = len(FEATURES)
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of the training folds, where labels don't contradict each other."""
+    own = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label in (0, 1)")
+    return own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most").filter(fold(F.col("doc_id")) != HELD_OUT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 + d + d * d))
-        for batch in batches:
-            label = np.array(batch.column("label").to_pylist())
-            z = np.array(batch.column("x").to_pylist()).reshape(-1, d)
-            for k in (0, 1):
-                own = z[label == k]
-                sums[k] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
-        label, at = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(at), pa.array(sums[label, at])], names=["label", "at", "value"])
-
-    # Two classes times 1 + d + d * d sums reach the driver, whatever the number of rows.
-    total = np.zeros((2, 1 + d + d * d))
-    for label, at, value in rows.mapInArrow(run, "label long, at long, value double").groupBy("label", "at").agg(F.sum("value")).collect():
-        total[label, at] = value
+
+def labelled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of df that fit() can learn from, so that nothing is computed of the others."""
+    ids = usable(labels).select(F.col("doc_id").alias("__labelled"))
+    few = ids.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return df.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("__labelled"), "left_semi")
+
+
+def discriminant(total: np.ndarray, to_pooled: float, to_diagonal: float, temperature: float = TEMPERATURES[0]) -> Discriminant:
+    """A model from the numbers, sums and sums of products of both classes: (2, 1 + d + d * d)."""
+    d = len(FEATURES)
     n, mean, cross = total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d)
     mean = mean / np.maximum(n, 1)[:, None]
     covariance = [cross[k] / max(n[k], 1) - np.outer(mean[k], mean[k]) for k in (0, 1)]
@@ -123,11 +129,62 @@ def fit(x: DataFrame, labels: DataFrame) -> Discriminant:
         if not n[k]:
             classes.append(None)
             continue
-        c = (1 - TO_POOLED) * covariance[k] + TO_POOLED * pooled
-        c = (1 - TO_DIAGONAL) * c + TO_DIAGONAL * np.diag(np.diag(pooled)) + 1e-6 * np.eye(d)
+        c = (1 - to_pooled) * covariance[k] + to_pooled * pooled
+        c = (1 - to_diagonal) * c + to_diagonal * np.diag(np.diag(pooled)) + 1e-6 * np.eye(d)
         factor = np.linalg.cholesky(c)
         classes.append((mean[k], np.linalg.inv(factor), np.log(np.diag(factor)).sum() - np.log(n[k] / n.sum())))
-    return Discriminant(tuple(classes))
+    return Discriminant(tuple(classes), temperature)
+
+
+def fit(x: DataFrame, labels: DataFrame) -> Discriminant:
+    """Learns from (doc_id, x) and (doc_id, quality), without the held-out fold."""
+    rows = x.withColumn("fold", fold(F.col("doc_id")).cast("int")).filter(F.col("fold") != HELD_OUT).join(usable(labels), "doc_id").select("fold", "label", "x")
+    rows = written(rows, "quality-labelled")
+    d = len(FEATURES)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((FOLDS, 2, 1 + d + d * d))
+        for batch in batches:
+            of, label = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("fold", "label"))
+            z = np.array(batch.column("x").to_pylist()).reshape(-1, d)
+            for f, k in set(zip(of.tolist(), label.tolist())):
+                own = z[(of == f) & (label == k)]
+                total[f, k] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "value"])
+
+    def added(made: DataFrame, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for at, value in made.groupBy("at").agg(F.sum("value")).collect():  # at most `size` rows, whatever the number of labels
+            out[at] = value
+        return out
+
+    total = added(rows.mapInArrow(sums, "at long, value double"), FOLDS * 2 * (1 + d + d * d)).reshape(FOLDS, 2, -1)
+    whole = total.sum(0)
+    train = [f for f in range(FOLDS) if f != HELD_OUT]
+    without = {f: whole - total[f] for f in train}
+    choice, temperature = CHOICES[0], TEMPERATURES[0]
+    if all(without[f][:, 0].min() > 0 for f in train):
+        shared = x.sparkSession.sparkContext.broadcast({f: [discriminant(without[f], *c) for c in CHOICES] for f in train})
+
+        def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss = np.zeros((len(CHOICES), len(TEMPERATURES)))
+            for batch in batches:
+                of, label = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("fold", "label"))
+                z = np.array(batch.column("x").to_pylist()).reshape(-1, d)
+                for f in np.unique(of).tolist():
+                    sign = np.where(label[of == f] == 1, 1, -1)
+                    for i, model in enumerate(shared.value[f]):
+                        odds = model.against(z[of == f]) * sign
+                        for j, t in enumerate(TEMPERATURES):
+                            loss[i, j] += np.logaddexp(0, odds / t).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(loss.size)), pa.array(loss.ravel())], names=["at", "value"])
+
+        loss = added(rows.mapInArrow(losses, "at long, value double"), len(CHOICES) * len(TEMPERATURES))
+        i, j = divmod(int(loss.argmin()), len(TEMPERATURES))
+        choice, temperature = CHOICES[i], TEMPERATURES[j]
+    discard(rows)
+    return discriminant(whole, *choice, temperature)
 
 
 def scored(df: DataFrame, model: Discriminant, text_col: str = "text", score_col: str = "score") -> DataFrame:
