@@ -2,13 +2,16 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.functions import histogram, scalar
 from tidewater.functions.histogram import quantiles
 from tidewater.functions.windows import Span, span
 from tidewater.operators import jobs
 from tidewater.operators.features import ALL, FeatureApp
+from tidewater.plans.history import HistoryFeature, parse_history
 from tidewater.plans.planner import GET, UPDATE, UPGET, declare, fused, layers
 from tidewater.plans.syntax import FeatureError, Macros, parse_call, parse_macro
 from tidewater.sources import connectors, sinks
@@ -132,3 +135,59 @@ def test_regression_and_control(spark):
     assert all(r.predicted == 0 for r in got[:22]) and all(abs(r.predicted - r.value) < 1e-4 for r in got[30:])
     control, data = spark.createDataFrame([("BLUE",), ("YELLOW",), ("BLUE",)], "color string"), spark.createDataFrame([(c,) for c in ("BLUE", "WHITE", "YELLOW")], "color string")
     assert {r.message for r in jobs.checked(data, control, "color").collect()} == {"invalid color (BLUE)", "valid color (WHITE)", "invalid color (YELLOW)"}
+
+
+def test_a_large_value_that_has_left_the_window(spark):
+    """1e16 is gone from the window; a difference of running sums would have lost the small values with it."""
+    rows = spark.createDataFrame([(1, 0, 1e16), (2, 1_800_000, 1.0), (3, 4_200_000, 2.0), (4, 7_200_000, 1.0), (5, 7_200_000, 0.25), (6, 3_600_000, 0.5)], "event_id long, c_timestamp long, amount double")
+    rows = rows.selectExpr("*", "'x' AS event_type", "'app' AS application", "1 AS user_id")
+    app = FeatureApp("app").add_feature(f"SUM(1h, {ALL}, amount, user_id)")
+    got = {r.event_id: r.s for r in app.compute(rows, {app.list()[0]: "s"}).collect()}
+    assert got == {1: 1e16, 2: 1e16 + 1, 6: 1.5, 3: 3.5, 4: 3.25, 5: 3.25}
+
+
+def test_a_function_of_ones_own(spark):
+    scalar.register_scalar("F_CLAMP", 3, 3, lambda x, low, high: F.greatest(low, F.least(high, x)))
+    try:
+        rows = spark.createDataFrame([(1, 0, 7.0), (2, 0, -1.0)], "event_id long, c_timestamp long, amount double").selectExpr("*", "'x' AS event_type", "'app' AS application")
+        app = FeatureApp("app").add_feature("F_CLAMP(amount, low=0, high=5)")
+        assert sorted(r.s for r in app.compute(rows, {app.list()[0]: "s"}).collect()) == [0.0, 5.0]
+        with pytest.raises(FeatureError):
+            scalar.register_scalar("F_CLAMP", 1, 1, F.abs)
+    finally:
+        del scalar.SCALARS["F_CLAMP"]
+
+
+def test_texts_of_histories():
+    assert parse_history("sum(amount#user_id.history,1d)") == HistoryFeature("sum", "amount", "user_id", 86_400_000)
+    assert parse_history(" count( user_id.history , 2h ) ") == HistoryFeature("count", None, "user_id", 7_200_000)
+    for bad in ("sum(user_id.history,1d)", "count(a#b.history,1d)", "sum(a#b.history,0d)", "sum(a#b.history,1m)", "avg(a#b.history,1d)", "sum(a#b,1d)"):
+        with pytest.raises(FeatureError):
+            parse_history(bad)
+
+
+def test_quantiles_of_many_at_once():
+    rng = np.random.default_rng(0)
+    x = [np.sort(rng.choice(1000, n, replace=False)).astype(float) for n in (1, 2, 3, 8, 30)]
+    y = [rng.integers(1, 9, len(v)).astype(float) for v in x]
+    for row, a, b in zip(histogram.quantile_rows(x, y, 50), x, y):
+        assert np.allclose(row, histogram.quantiles(list(zip(a, b)), 50))
+
+
+def test_database_tables(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    rows.write.format("jdbc").options(url=url, dbtable="counts", createTableColumnTypes="id varchar(32)").save()
+    connectors.insert_jdbc(spark.createDataFrame([("c", 3)], "id string, n int"), url, "counts")
+    connectors.upsert_jdbc(spark.createDataFrame([("b", 20), ("d", 4)], "id string, n int"), url, "counts", ["id"], createTableColumnTypes="id varchar(32)")
+    want = {("a", 1), ("b", 20), ("c", 3), ("d", 4)}
+    assert {tuple(r) for r in connectors.read_jdbc(spark, url, 'SELECT "id", "n" FROM counts').collect()} == want
+    assert {tuple(r) for r in connectors.read_jdbc(spark, url, 'SELECT "id", "n" FROM counts', split=('"n"', 0, 20, 3)).collect()} == want
+
+
+def test_messages(spark):
+    rows = spark.createDataFrame([(1, "x")], "id long, kind string")
+    r = connectors.kafka_rows(rows, F.col("id"), "out", {"kind": F.col("kind")}).first()
+    assert (r.key, r.value, r.topic, r.headers[0].key, bytes(r.headers[0].value)) == ("1", '{"id":1,"kind":"x"}', "out", "kind", b"x")
+    assert connectors.kafka_options("h:1", "t", "g", True)["startingOffsets"] == "earliest"
+    assert connectors.generated(spark, "word", 5, rate=3).isStreaming

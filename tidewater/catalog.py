@@ -15,7 +15,8 @@ from .operators import jobs
 from .operators.features import ALL, FeatureApp
 from .plans.planner import GET, UPGET
 from .sources import sinks
-from .sources.tables import decoded, events, millis, table
+from .sources.connectors import generated, with_header, without_header
+from .sources.tables import decoded, events, millis, renamed_keys, table
 
 FLAGSHIP = "feature_script"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +97,15 @@ def feat_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.compute(events(spark, sf_dir), {made.list()[0]: "feature"}).select("event_id", "feature")
 
 
+@register("hist_totals", bucket("count(*) OVERW AS n, round(avg(value) OVERW + 1e-7, 4)", 2, D, "user_id").replace(" AS feature", " AS mean"))
+def hist_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What merging keeps of a histogram whatever its bins: how many values it has, and their mean."""
+    made = app().add_feature(f"HIST(2d, {ALL}, amount, bins=4, user_id)")
+    done = made.compute(events(spark, sf_dir), {made.list()[0]: "h"})
+    n = F.aggregate("h", F.lit(0.0), lambda total, b: total + b["y"])
+    return done.select("event_id", n.cast("long").alias("n"), off_ties(F.aggregate("h", F.lit(0.0), lambda total, b: total + b["x"] * b["y"]) / n).alias("mean"))
+
+
 # Two-hop aggregates: over the devices that the user had in the last six hours
 
 MEMBERS = f"{E}, m AS (SELECT DISTINCT a.event_id, a.ms, b.k FROM e a JOIN e b ON a.user_id = b.user_id AND b.ms <= a.ms AND b.ms > a.ms - {6 * H})"
@@ -136,6 +146,13 @@ def fn_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.compute(events(spark, sf_dir), {made.list()[0]: "feature"}).select("event_id", *(F.round(f"feature.{c}", 6).alias(f"q_{c}") for c in ("min", "q1", "q2", "q3", "max", "mode")))
 
 
+@register("quantile_range", f"WITH {E} SELECT event_id, min(value) OVER w AS low, max(value) OVER w AS high FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN (ms - ms // {D} * {D}) PRECEDING AND CURRENT ROW)")
+def quantile_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extremes by quantiles of a histogram that has a bin for every value."""
+    made = app().add_feature(f"F_QUANTILE(HIST(1d, {ALL}, amount, bins=1000000, user_id), precision=10)")
+    return made.compute(events(spark, sf_dir), {made.list()[0]: "q"}).select("event_id", F.col("q.min").alias("low"), F.col("q.max").alias("high"))
+
+
 # Meta-operators
 
 feature("feat_nested", f"F_DIVIDE(SUM(1h, {ALL}, amount, user_id), COUNT(1h, {ALL}, user_id))",
@@ -175,6 +192,61 @@ def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.a.b"), F.lit("none")).alias("missing"))
 
 
+@register("json_rename", "SELECT event_id, replace(props, '\"k\"', '\"device\"') AS props FROM events")
+def json_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", renamed_keys(F.col("props"), "k", "device").alias("props"))
+
+
+def drawn(salt: str, size: int) -> str:
+    """SQL: the number that a generator draws for an id."""
+    return f"(CAST(('0x' || substr(md5(id || '/1/{salt}'), 1, 8)) AS BIGINT) % {size})"
+
+
+GENERATED = "FROM (SELECT range AS id FROM range(1000))"
+
+
+@register("gen_temperature", f"SELECT id, 1500000000000 + id * 1000 AS timestamp, {drawn('temperature', 200_000)} / 1000.0 AS temperature {GENERATED}")
+def gen_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated(spark, "temperature", 1000)
+
+
+@register("gen_social", f"SELECT id, 'member_' || lpad(CAST({drawn('user', 10)} AS VARCHAR), 3, '0') AS user, array_to_string(list_transform(range(0, {drawn('friends', 8)} + 1), lambda i: 'member_' || lpad(CAST(CAST(('0x' || substr(md5(id || '/1/friends' || i), 1, 8)) AS BIGINT) % 10 AS VARCHAR), 3, '0')), ',') AS friends {GENERATED}")
+def gen_social(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated(spark, "social", 1000).select("id", "user", joined(F.col("friends")).alias("friends"))
+
+
+@register("gen_sale", f"SELECT id, 'item_' || {drawn('product', 5)} AS product, CAST({drawn('number', 5)} AS INTEGER) AS number {GENERATED}")
+def gen_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated(spark, "sale", 1000).select("id", "product", "number")
+
+
+@register("gen_word", f"SELECT id, list_extract(['river', 'harbor', 'tide', 'anchor', 'gull'], {drawn('word', 5)} + 1) AS word {GENERATED}")
+def gen_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated(spark, "word", 1000).select("id", "word")
+
+
+@register("message_headers", "SELECT event_id, 'kind' AS name, event_type AS value FROM events")
+def message_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers as a message carries them: two are set, one is removed."""
+    e = table(spark, sf_dir, "events")
+    rows = e.withColumn("headers", F.array().cast("array<struct<key:string,value:binary>>"))
+    rows = without_header(with_header(with_header(rows, "kind", F.lit("none")), "trace", F.col("event_id")), "trace")
+    rows = with_header(rows, "kind", F.col("event_type"))
+    return rows.select("event_id", F.explode("headers").alias("h")).select("event_id", F.col("h.key").alias("name"), F.col("h.value").cast("string").alias("value"))
+
+
+@register(
+    "fork_join",
+    f"WITH {E}, r AS (SELECT event_id, ms + (event_id % 5) * 100 AS at_ms, user_id * 2 AS v FROM e WHERE event_id % 3 > 0) SELECT e.event_id, r.v AS doubled, e.event_type AS same FROM e LEFT JOIN r ON r.event_id = e.event_id AND r.at_ms <= e.ms + 200",
+)
+def fork_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two branches' results for each event: one late or missing for some, one at once."""
+    e = events(spark, sf_dir)
+    late = e.filter("event_id % 3 > 0").select("event_id", (F.col("c_timestamp") + F.col("event_id") % 5 * 100).alias("at_ms"), (F.col("user_id") * 2).alias("value"))
+    at_once = e.select("event_id", F.col("c_timestamp").alias("at_ms"), F.col("event_type").alias("value"))
+    return jobs.fork_join(e.select("event_id", "c_timestamp"), "event_id", "c_timestamp", {"doubled": late, "same": at_once}, 200).select("event_id", "doubled", "same")
+
+
 @register("field_projection", f"WITH {E} SELECT event_id, CASE WHEN event_type = 'purchase' THEN k ELSE event_type END AS subject FROM e")
 def field_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = FeatureApp("app001", payload="props").add_field("purchase", "subject", "$.none", "$.k").add_field(ALL, "subject", "$.none", "event_type")
@@ -246,17 +318,17 @@ def history_100(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("risk_sum", history_sql("round(list_sum(list_transform(l, lambda x: x.v)), 4)", D))
 def risk_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history(spark, sf_dir).select("event_id", F.round(jobs.recent_sum(F.col("history"), "amount", D), 4).alias("feature"))
+    return history(spark, sf_dir).select("event_id", F.round(jobs.history_value(F.col("history"), "sum(amount#user_id.history,1d)", "user_id"), 4).alias("feature"))
 
 
 @register("risk_count", history_sql("CAST(len(l) AS BIGINT)", D))
 def risk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history(spark, sf_dir).select("event_id", jobs.recent_count(F.col("history"), D).alias("feature"))
+    return history(spark, sf_dir).select("event_id", jobs.history_value(F.col("history"), "count(user_id.history,1d)", "user_id").alias("feature"))
 
 
 @register("risk_count_distinct", history_sql("CAST(len(list_distinct(list_transform(l, lambda x: x.k))) AS BIGINT)", D))
 def risk_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history(spark, sf_dir).select("event_id", jobs.recent_distinct(F.col("history"), "device_id", D).alias("feature"))
+    return history(spark, sf_dir).select("event_id", jobs.history_value(F.col("history"), "count_distinct(device_id#user_id.history,24h)", "user_id").alias("feature"))
 
 
 @register("risk_rule", history_sql(f"len(l) > 2 AND list_sum(list_transform(l, lambda x: x.v)) > 100 AND len(list_distinct(list_transform(l, lambda x: x.k))) <= 4", D))
@@ -394,6 +466,13 @@ def serving_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.serve(counts, SERVE_AT, BATCH_MS, BATCH_N, FAST_MS)
 
 
+@register("online_trend", f"WITH {E}, p AS (SELECT event_id, user_id, value AS y, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM e), r AS (SELECT *, regr_slope(y, x) OVER w AS a, regr_intercept(y, x) OVER w AS b FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT user_id, event_id, round(CASE WHEN i > 4 THEN b + a * x ELSE 0 END, 3) AS predicted FROM r")
+def online_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same regression on one value before, which SQL has, too."""
+    done = jobs.online_regression(events(spark, sf_dir), "user_id", "event_id", "amount", lags=1)
+    return done.select("user_id", "event_id", F.round("predicted", 3).alias("predicted"))
+
+
 @register("online_regression")
 def online_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's amounts predicted from the ten before; iterative, so tests hold it against a loop."""

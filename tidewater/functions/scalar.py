@@ -51,3 +51,10 @@ def scalar(op: str, args: list[Column]) -> Column:
     if len(args) < least or most is not None and len(args) > most:
         raise FeatureError(f"{op} takes {least if least == most else f'{least} or more'} arguments, not {len(args)}")
     return make(*map(_or_zero, args))
+
+
+def register_scalar(name: str, least: int, most: int | None, make: Callable[..., Column]) -> None:
+    """A scalar function of one's own: make takes and gives columns of doubles. Its name begins with F_ and is new."""
+    if not name.startswith("F_") or name != name.upper() or name in SCALARS or name in ("F_GET", "F_QUANTILE"):
+        raise FeatureError(f"not a new name of a scalar function: {name}")
+    SCALARS[name] = (least, most, make)

@@ -4,8 +4,10 @@ Two families. Exact windows hold (ms - W, ms]. Bucket windows round up to their
 has come, and the whole n - 1 before it.
 
 Neither leaves all rows of a key to one task. Exact windows are evaluated in slices of time, SLICES windows long; the
-rows at the end of a slice are repeated in the next one, which needs them as its past. In a slice, sums over a window
-are differences of two running sums, so that the cost is linear however many rows a window holds. Bucket windows
+rows at the end of a slice are repeated in the next one, which needs them as its past. Sums are evaluated in panes one
+window long: a window is the end of one pane, summed from its end, and the beginning of the next, summed from its
+beginning. So the cost is linear however many rows a window holds, and nothing that has left it is subtracted, which a
+large value would not survive. Bucket windows
 aggregate each (key, bucket) first, combine the few earlier buckets in a window over those, and join them to the rows
 of a bucket.
 """
@@ -53,12 +55,20 @@ def sliced(rows: DataFrame, w: Span) -> tuple[DataFrame, Column]:
 
 def exact_sums(rows: DataFrame, keys: list[str], w: Span, sums: dict[str, Column]) -> DataFrame:
     """Sums over the exact window of each row. Contributions that are null add nothing; an empty sum is 0."""
-    spread, own = sliced(rows, w)
-    past = Window.partitionBy(*keys, "__slice").orderBy("__ms")
-    upto, before = past.rangeBetween(Window.unboundedPreceding, 0), past.rangeBetween(Window.unboundedPreceding, -w.ms)
-    spread = spread.withColumns({f"__in_{name}": value for name, value in sums.items()})
-    spread = spread.withColumns({name: F.coalesce(F.sum(f"__in_{name}").over(upto), F.lit(0)) - F.coalesce(F.sum(f"__in_{name}").over(before), F.lit(0)) for name in sums})
-    return spread.filter(own).drop("__slice", *(f"__in_{name}" for name in sums))
+    rows = rows.withColumns({f"__in_{name}": value for name, value in sums.items()})
+    # Each row is in its own pane and, as its past, in the next one, at the same offset.
+    spread = rows.withColumn("__pane", F.floor(F.col("__ms") / w.ms)).withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False))))
+    spread = spread.withColumns({"__pane": F.when(F.col("__own"), F.col("__pane")).otherwise(F.col("__pane") + 1), "__offset": F.pmod(F.col("__ms"), F.lit(w.ms))})
+    pane = Window.partitionBy(*keys, "__pane")
+    upto = pane.orderBy("__offset").rangeBetween(Window.unboundedPreceding, 0)
+    after = pane.orderBy(F.col("__offset").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    own, past = F.col("__own"), ~F.col("__own")
+
+    def total(name: str) -> Column:
+        value = F.col(f"__in_{name}")
+        return F.coalesce(F.sum(F.when(own, value)).over(upto), F.lit(0)) + F.coalesce(F.sum(F.when(past, value)).over(after), F.lit(0))
+
+    return spread.withColumns({name: total(name) for name in sums}).filter("__own").drop("__pane", "__own", "__offset", *(f"__in_{name}" for name in sums))
 
 
 def exact_set(rows: DataFrame, keys: list[str], w: Span, value: Column, name: str) -> DataFrame:
@@ -76,8 +86,11 @@ def exact_distinct(rows: DataFrame, keys: list[str], w: Span, value: Column, nam
     """
     size = SLICES * w.ms
     rows = rows.withColumn("__value", value)
-    again = Window.partitionBy(*keys, "__value").orderBy("__ms", "__seq")
-    seen = rows.filter(F.col("__value").isNotNull()).select(*keys, "__ms", F.least(F.lead("__ms").over(again), F.col("__ms") + w.ms).alias("__end"))
+    # Only what is seen again within a window matters, so a slice needs the first window of the next one.
+    here = F.floor(F.col("__ms") / size)
+    there = rows.filter(F.col("__value").isNotNull()).withColumn("__at", F.explode(F.when(F.col("__ms") - here * size < w.ms, F.array(here, here - 1)).otherwise(F.array(here))))
+    again = Window.partitionBy(*keys, "__value", "__at").orderBy("__ms", "__seq")
+    seen = there.select(*keys, "__ms", "__at", F.least(F.lead("__ms").over(again), F.col("__ms") + w.ms).alias("__end")).filter(F.col("__at") == here).drop("__at")
     first, last = F.floor(F.col("__ms") / size), F.floor((F.col("__end") - 1) / size)
     parts = seen.filter(F.col("__end") > F.col("__ms")).select(*keys, F.col("__ms").alias("__from"), "__end", F.explode(F.sequence(first, last)).alias("__slice"))
     start, end = F.greatest(F.col("__from"), F.col("__slice") * size), F.least(F.col("__end"), (F.col("__slice") + 1) * size)

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import Span, sliced
+from ..plans.history import parse_history
+from ..plans.syntax import FeatureError
 
 # Keyed histories and rules
 
@@ -19,7 +22,8 @@ def with_history(df: DataFrame, key: str, ms: str, order: list[str], fields: lis
 
 def recent(history: Column, w: int) -> Column:
     """What a history holds of the w milliseconds before its last event."""
-    return F.filter(history, lambda h: h["ms"] > F.array_max(F.transform(history, lambda x: x["ms"])) - w)
+    # Histories are in the order of time, so the last event is the latest.
+    return F.filter(history, lambda h: h["ms"] > F.element_at(history, -1)["ms"] - w)
 
 
 def recent_sum(history: Column, field: str, w: int) -> Column:
@@ -34,6 +38,31 @@ def recent_distinct(history: Column, field: str, w: int) -> Column:
     return F.size(F.array_distinct(F.filter(F.transform(recent(history, w), lambda h: h[field]), lambda x: x.isNotNull()))).cast("long")
 
 
+def history_value(history: Column, text: str, key: str) -> Column:
+    """The value of a feature text such as sum(amount#user_id.history,1d), over a history by `key`."""
+    feature = parse_history(text)
+    if feature.on != key:
+        raise FeatureError(f"the history is by {key}: {text!r}")
+    if feature.op == "count":
+        return recent_count(history, feature.window)
+    make = recent_sum if feature.op == "sum" else recent_distinct
+    return make(history, feature.target, feature.window)
+
+
+def fork_join(events: DataFrame, event_id: str, ms: str, results: dict[str, DataFrame], timeout_ms: int) -> DataFrame:
+    """events with the result of each branch: (event_id, at_ms, value), the first that is there within the timeout, else null.
+
+    On streams, give events and results watermarks on the same clock: the joins are then outer joins in a range of time.
+    """
+    out = events
+    for name, branch in results.items():
+        own = branch.select(F.col(event_id).alias("__of"), F.struct("at_ms", "value").alias("__r"))
+        first = own.join(events.select(F.col(event_id).alias("__id"), F.col(ms).alias("__ms")), F.col("__of") == F.col("__id"))
+        first = first.filter(F.col("__r")["at_ms"].between(F.col("__ms"), F.col("__ms") + timeout_ms)).groupBy("__of").agg(F.min("__r")["value"].alias(name))
+        out = out.join(first, F.col(event_id) == F.col("__of"), "left").drop("__of")
+    return out
+
+
 def fan_out(df: DataFrame, event_id: str, keys: dict[str, Column]) -> DataFrame:
     """A base row for each event and one for each of its keys that isn't null: key_name, key_value, event_id."""
     rows = [F.struct(F.lit("base").alias("key_name"), F.col(event_id).cast("string").alias("key_value"))]
@@ -70,20 +99,24 @@ def checked(data: DataFrame, control: DataFrame, on: str, name: str = "message")
 
 
 def alarms(df: DataFrame, key: list[str], ms: str, order: list[str], value: str, above: float, within: int) -> DataFrame:
-    """Of each two successive events above a value, less than `within` apart, the hotter one: by its whole part, then the earlier."""
-    by = Window.partitionBy(*(key or [F.lit(0)])).orderBy(ms, *order)
-    hot = df.filter(F.col(value) > above)
+    """Of each two successive events above a value, less than `within` apart, the hotter one: by its whole part, then the earlier.
+
+    In slices of time, with the end of each repeated in the next: neither a hot key nor the lack of a key makes one task.
+    """
     event = F.struct(*df.columns)
-    pairs = hot.select(event.alias("now"), F.lag(event).over(by).alias("was"), F.col(ms).alias("__ms"), F.lag(ms).over(by).alias("__before")).filter(F.col("__ms") - F.col("__before") < within)
-    hotter = F.when(F.floor(F.col("now")[value]) > F.floor(F.col("was")[value]), F.col("now")).otherwise(F.col("was"))
-    return pairs.select(F.col("now")[ms].alias("at_ms"), hotter.alias("e")).select("at_ms", "e.*")
+    hot, own = sliced(df.filter(F.col(value) > above).withColumns({"__ms": F.col(ms), "__now": event}), Span(within, 1))
+    by = Window.partitionBy(*key, "__slice").orderBy(ms, *order)
+    pairs = hot.select("__now", F.lag("__now").over(by).alias("__was"), "__ms", F.lag("__ms").over(by).alias("__before"), own.alias("__own")).filter("__own").filter(F.col("__ms") - F.col("__before") < within)
+    hotter = F.when(F.floor(F.col("__now")[value]) > F.floor(F.col("__was")[value]), F.col("__now")).otherwise(F.col("__was"))
+    return pairs.select(F.col("__now")[ms].alias("at_ms"), hotter.alias("e")).select("at_ms", "e.*")
 
 
 def escalations(found: DataFrame, key: list[str], value: str, within: int) -> DataFrame:
     """Of each two successive alarms less than `within` apart, the second, if it is hotter by its whole part."""
-    by = Window.partitionBy(*(key or [F.lit(0)])).orderBy("at_ms")
-    both = found.withColumns({"__at": F.lag("at_ms").over(by), "__was": F.lag(value).over(by)})
-    return both.filter((F.col("at_ms") - F.col("__at") < within) & (F.floor(F.col(value)) > F.floor(F.col("__was")))).drop("__at", "__was")
+    spread, own = sliced(found.withColumn("__ms", F.col("at_ms")), Span(within, 1))
+    by = Window.partitionBy(*key, "__slice").orderBy("at_ms")
+    both = spread.withColumns({"__at": F.lag("at_ms").over(by), "__was": F.lag(value).over(by), "__own": own}).filter("__own")
+    return both.filter((F.col("at_ms") - F.col("__at") < within) & (F.floor(F.col(value)) > F.floor(F.col("__was")))).drop("__at", "__was", "__own", "__ms", "__slice")
 
 
 # Windows
