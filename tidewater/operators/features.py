@@ -41,6 +41,8 @@ class FeatureApp:
     macros: Macros = field(default_factory=Macros)
     features: list[Feature] = field(default_factory=list)
     active: FeatureApp | None = None
+    source: DataFrame | None = None
+    sink: object = None
 
     def add_field(self, event_type: str, name: str, *paths: str) -> FeatureApp:
         """A field of events of a type (or ___ALL___): the first of the paths that isn't null."""
@@ -63,6 +65,24 @@ class FeatureApp:
         self.active = replace(self, fields={k: dict(v) for k, v in self.fields.items()}, features=list(self.features), macros=Macros(dict(self.macros.known)), active=None)
         return self.active
 
+    def set_source(self, events: DataFrame) -> FeatureApp:
+        """The stream that start() reads."""
+        self.source = events
+        return self
+
+    def set_sink(self, sink) -> FeatureApp:
+        """sink(rows, batch) gets the answers of each batch of the stream."""
+        self.sink = sink
+        return self
+
+    def start(self, folder: str, checkpoint: str, delay_ms: int = 0, drain: bool = False):
+        """Runs the features on the source until it is stopped, or drained; what it holds is kept in the folder."""
+        from ..streaming.whole import WholeStream
+
+        if self.source is None or self.sink is None:
+            raise FeatureError("set a source and a sink first")
+        return WholeStream(self, folder, delay_ms, self.sink).start(self.source, checkpoint, drain)
+
     def bind(self, events: DataFrame) -> DataFrame:
         """events with the declared fields: from a JSON payload, or from columns of the same name."""
         out = events
