@@ -1,6 +1,8 @@
 import gzip
 import hashlib
+import io
 import struct
+import zipfile
 import zlib
 
 from pyspark.sql import functions as F
@@ -31,6 +33,37 @@ def test_validators():
         assert not [x for x in media.items(item[:-1]) if x[0] == kind], kind
 
 
+def ogg(data):
+    """One page; the checksum bit by bit."""
+    page = b"OggS\0\x02" + bytes(16) + b"\0\0\0\0" + bytes([1, len(data)]) + data
+    crc = 0
+    for byte in page:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+    return page[:22] + struct.pack("<I", crc) + page[26:]
+
+
+def test_ends_of_items():
+    pdf = b"%PDF-1.4 a startxref 1 %%EOF b startxref 2 %%EOF"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a", "b" * 100)
+    archive, sound = held.getvalue(), ogg(b"abc")
+    bomb = gzip.compress(bytes(30 << 20))
+    for kind, item in (("application/pdf", pdf), ("application/zip", archive), ("audio/ogg", sound), ("application/gzip", bomb)):
+        both = list(media.items(b"xx" + item + b"--" + item + b"rest"))
+        assert {(kind, 2, len(item)), (kind, 4 + len(item), len(item))} <= set(both), kind
+    assert not [x for x in media.items(sound[:-1] + b"z") if x[0] == "audio/ogg"]
+
+
+def test_features_of_a_text(spark):
+    row = media.describe(media.store(spark.createDataFrame([(1, "AB" * 10 + "\u00e9")], "doc_id long, text string"))).first()
+    level = [x - 128 for x in ("AB" * 10 + "\u00e9").encode() + b" " * 170]
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(level, level[1:]))
+    assert row.feature == f"type=audio/wav;corrected=True;frames=192;sum={sum(level)};squares={sum(x * x for x in level)};crossings={crossings};low={min(level)};high={max(level)};embedded="
+
+
 def test_sniff_and_carve(spark):
     rows = [(1, "image/gif", png() + b"junk" + bmp()), (2, "image/bmp", bmp()), (3, None, b"BMplain text"), (4, "text/plain", None), (5, None, b"")]
     seen = media.sniff(spark.createDataFrame(rows, "id long, declared string, content binary"))

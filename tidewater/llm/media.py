@@ -12,8 +12,10 @@ table.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ from .base import map_batches, plus, read_table, texts_of
 UNKNOWN = "application/octet-stream"
 UNIT = 192
 PAD = b" "
+#: Each byte with its bits the other way round.
+_MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
 def _riff(b: bytes, at: int) -> tuple[str, int] | None:
@@ -124,25 +128,55 @@ def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
 def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
     if b[at + 2 : at + 3] != b"\x08":
         return None
+    reader, view, p = zlib.decompressobj(31), memoryview(b), at
     try:
-        reader = zlib.decompressobj(31)
-        reader.decompress(b[at:])
+        # In pieces whose output is thrown away, so that no bomb fills the memory.
+        while p < len(b) and not reader.eof:
+            piece = view[p : p + (1 << 16)]
+            p += len(piece)
+            while len(piece) and not reader.eof:
+                reader.decompress(piece, 1 << 16)
+                piece = reader.unconsumed_tail
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - at - len(reader.unused_data)) if reader.eof else None
+    return ("application/gzip", p - at - len(reader.unused_data)) if reader.eof else None
+
+
+@functools.lru_cache(maxsize=1)
+def _marks(b: bytes, mark: bytes) -> list[int]:
+    """Where a mark stands in a value: found once, however many items ask."""
+    return [m.start() for m in re.finditer(re.escape(mark), b)]
+
+
+@functools.lru_cache(maxsize=1)
+def _pdf_marks(b: bytes) -> tuple[list[int], list[int], list[int]]:
+    return tuple([m.start() for m in re.finditer(mark, b)] for mark in (b"%PDF-", b"startxref", b"%%EOF"))
 
 
 def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end > 0 and b.find(b"startxref", at, end) > 0 else None
+    """To the last end before another document begins, as each update of a document adds one."""
+    heads, tables, ends = _pdf_marks(b)
+    i = bisect.bisect_right(heads, at)
+    k = bisect.bisect_left(ends, heads[i] if i < len(heads) else len(b)) - 1
+    t = bisect.bisect_right(tables, at)
+    return ("application/pdf", ends[k] + 5 - at) if k >= 0 and ends[k] > at and t < len(tables) and tables[t] < ends[k] else None
+
+
+@functools.lru_cache(maxsize=1)
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """Of each archive that ends in a value: where it begins, by its directory's place and size, and its first end."""
+    out: dict[int, int] = {}
+    for end in _marks(b, b"PK\x05\x06"):
+        if end + 22 <= len(b):
+            size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
+            if end + 22 + comment <= len(b):
+                out.setdefault(end - size - offset, end + 22 + comment)
+    return out
 
 
 def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
-    return ("application/zip", end + 22 + comment - at) if at + offset + size == end and end + 22 + comment <= len(b) else None
+    end = _zip_ends(b).get(at)
+    return ("application/zip", end - at) if end else None
 
 
 def _flac(b: bytes, at: int) -> tuple[str, int] | None:
@@ -155,7 +189,10 @@ def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
     while b[p : p + 5] == b"OggS\x00" and p + 27 <= len(b):
         n = b[p + 26]
         end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if end > len(b):
+        # A page's checksum is over the page with zeros in its place; zlib's has its bits the other way round.
+        page = b[p : p + 22] + b"\0\0\0\0" + b[p + 26 : end]
+        found = int(f"{zlib.crc32(page.translate(_MIRROR), 0xFFFFFFFF) ^ 0xFFFFFFFF:032b}"[::-1], 2) if end <= len(b) else -1
+        if found != struct.unpack_from("<I", b, p + 22)[0]:
             break
         p = end
     return ("audio/ogg", p - at) if p > at else None
@@ -196,6 +233,13 @@ def items(b: bytes) -> Iterator[tuple[str, int, int]]:
             yield valid[0], at - into, valid[1]
 
 
+def true_type(b: bytes) -> tuple[str, int, list[tuple[str, int, int]]]:
+    """The type and length of the item at a value's start, and the items that are embedded in the value."""
+    found = list(items(b))
+    kind, _, length = next((x for x in found if x[1] == 0), (UNKNOWN, 0, len(b)))
+    return kind, length, [x for x in found if x[1] > 0]
+
+
 def to_wav(payload: bytes, rate: int = 8000) -> bytes:
     """A WAV file whose 8-bit samples, on one channel, are the payload."""
     pad = b"\0" * (len(payload) % 2)
@@ -256,9 +300,8 @@ def sniff(df: DataFrame, content_col: str = "content", declared_col: str = "decl
 
         out = []
         for b, said in zip(content, declared):
-            found = list(items(b or b""))
-            whole = next((x for x in found if x[1] == 0), (UNKNOWN, 0, len(b or b"")))
-            out.append((whole[0], whole[0] != said, whole[2], [dict(zip(("type", "offset", "length"), x)) for x in found if x[1] > 0]))
+            kind, length, inner = true_type(b or b"")
+            out.append((kind, kind != said, length, [dict(zip(("type", "offset", "length"), x)) for x in inner]))
         return pd.DataFrame(out, columns=["type", "corrected", "length", "embedded"])
 
     look.__annotations__ = {}
@@ -279,10 +322,9 @@ def describe(stored: DataFrame) -> DataFrame:
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for declared, b in zip(batch.column("declared").to_pylist(), batch.column("content").to_pylist()):
-                found = list(items(b))
-                kind, _, length = next((x for x in found if x[1] == 0), (UNKNOWN, 0, len(b)))
+                kind, length, found = true_type(b)
                 samples = wav_samples(b[:length])
-                inner = ",".join(f"{k}@{at}+{n}" for k, at, n in found if at > 0)
+                inner = ",".join(f"{k}@{at}+{n}" for k, at, n in found)
                 out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(b), hashlib.sha256(b).hexdigest(), f"type={kind};corrected={kind != declared};{sample_features(samples)};embedded={inner}"))
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(list(c)) for c in zip(*out))], names=["doc_id", "n_bytes", *names])
 
