@@ -3,10 +3,12 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import exact_dedup
+from tidewater.llm import exact_dedup, filters
 
 from .conftest import SF
 
@@ -36,12 +38,29 @@ def test_like_brute_force_even_if_digests_collide(spark, docs, edges, digest, me
 
 
 def test_shuffled_groups_and_small_shares(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 1)
     monkeypatch.setattr(exact_dedup, "SHARE", 2)
     rows = spark.createDataFrame([(i, ["same", "b  c", "b c", f"own {i}"][i % 4]) for i in range(60)], "doc_id long, text string")
     assert Counter(map(tuple, exact_dedup.exact_dedup(rows).collect())) == brute(rows.collect())
 
 
+def test_filters(spark):
+    rng = np.random.default_rng(0)
+    some = [rng.bytes(32) for _ in range(3000)]
+    bits = filters.build(spark.createDataFrame([(x,) for x in some], "digest binary"), "digest")
+    assert filters.might_hold(bits, pa.array(some, pa.binary())).all()
+    assert filters.might_hold(bits, pa.array([rng.bytes(32) for _ in range(5000)], pa.binary())).mean() < 0.01
+
+
+def test_what_the_filter_denies_is_single(spark, monkeypatch):
+    """The filter decides what is looked up: if it denied everything, nothing would be found."""
+    rows = spark.createDataFrame([(i, f"text {i % 7}") for i in range(60)], "doc_id long, text string")
+    assert exact_dedup.exact_dedup(rows).filter("kept").count() == 7
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 1)
+    monkeypatch.setattr(filters, "build", lambda df, column: np.zeros((filters.SEGMENTS, filters.SEGMENT_BITS // 8), np.uint8))
+    assert exact_dedup.exact_dedup(rows).filter("kept").count() == 60
+
+
 def test_query_sql_payload_and_empty(spark, docs, edges, empty):
     got = exact_dedup.op4_exact_dedup(spark, SF)
     with duckdb.connect() as db:

@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import filters
 from .base import discard, plus, read_table, written
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Digests of groups that may be broadcast: at 100 bytes each this is below 20 MB. More are joined by a shuffle.
-BROADCAST_GROUPS = 200_000
+#: A group with at least one in so many of all rows is hot; there can be no more than so many, 100 bytes each.
+HOT_SHARE = 10_000
 #: Members of one group that meet in one task when their bytes are compared.
 SHARE = 2048
 #: Entries of a memtable.
@@ -98,12 +99,23 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     index = written(compact(runs), "dedup-index", **_filters(memtable))
     discard(runs)
     groups = index.filter("n > 1")
-    few = groups.count() <= BROADCAST_GROUPS
-    hits = docs.join(F.broadcast(groups) if few else groups, "digest", "left")
-    hits = hits.withColumn("norm", F.when(F.col("n").isNotNull(), F.col("norm")))
-    looked = written(hits.select("doc_id", "digest", "text_sha256", "keep_id", "n", "norm", *keep), "dedup-lookup", compression="zstd")
+    total = index.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE >= total
+    bits = df.sparkSession.sparkContext.broadcast(filters.build(groups, "digest"))
 
-    single = looked.filter(F.col("n").isNull())
+    def may_hit(digests):
+        import pandas as pd
+
+        return pd.Series(filters.might_hold(bits.value, pa.array(digests, pa.binary())))
+
+    sifted = docs.withColumn("may_hit", F.pandas_udf(may_hit, "boolean")("digest")).withColumn("norm", F.when(F.col("may_hit"), F.col("norm")))
+    sifted = sifted.join(F.broadcast(groups.filter(hot)), "digest", "left").select("doc_id", "digest", "text_sha256", "keep_id", "n", "norm", "may_hit", *keep)
+    sifted = written(sifted, "dedup-sifted", compression="zstd")
+    rest = sifted.filter(F.col("may_hit") & F.col("n").isNull()).drop("keep_id", "n").join(groups.filter(~hot), "digest", "left")
+    looked = written(rest.select("doc_id", "digest", "text_sha256", "keep_id", "n", "norm", *keep), "dedup-lookup", compression="zstd")
+    looked = looked.unionByName(sifted.filter(F.col("n").isNotNull()).drop("may_hit"))
+
+    single = looked.filter(F.col("n").isNull()).select("doc_id", "text_sha256", *keep).unionByName(sifted.filter(~F.col("may_hit")).select("doc_id", "text_sha256", *keep))
     single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *keep)
     many = looked.filter(F.col("n").isNotNull())
     shares = F.ceil(F.col("n") / SHARE).cast("int")
