@@ -31,6 +31,14 @@ def test_any_chunks_give_the_ids_of_the_whole_text(spark, docs, edges, library,
     assert Counter(map(tuple, got)) == Counter(expected(library, *r) for r in rows.collect())
 
 
+@pytest.mark.parametrize("overlap", [0, 8])
+def test_a_very_long_text_in_many_pieces(spark, library, overlap):
+    """1,500,000 characters of one to four bytes, in 750 chunks, and a run of one character without any seam."""
+    rows = [(1, "Straße 12 \U0001f600 naïve, tide's\n\n  " * 48_000), (2, "x" * 20_000), (None, "Straße 12 \U0001f600 naïve, tide's\n\n  " * 300)]
+    got = byte_bpe.digests(byte_bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), chunk_chars=2000, overlap=overlap)).collect()
+    assert Counter(map(tuple, got)) == Counter(expected(library, *r) for r in rows)
+
+
 def test_query_on_whole_table(spark, docs, library):
     got = byte_bpe.op3_byte_bpe(spark, SF).collect()
     assert Counter(map(tuple, got)) == Counter(expected(library, r.doc_id, r.text) for r in docs.collect())

@@ -5,7 +5,7 @@ parallel, each from its own start, which need not be a pre-token boundary. Match
 last match, so once two chunks share a boundary they agree from there on. The first boundary that both chunks have in
 their overlap is the seam; the pieces between seams are encoded in parallel and their ids put together in order. Where
 two chunks share none, the pieces run together, so the result is always that of the whole text. Decoding concatenates
-the raw bytes of the ids.
+the raw bytes of the ids. Cutting a text, joining its ids and hashing are linear in its length.
 
 Defined results: a null or empty text has no ids; a null doc_id stays null; equal rows each give a row; other columns
 are ignored; an empty table gives an empty table.
@@ -16,19 +16,22 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import map_batches, plus, read_table, texts_of, tokenizer_path
+from .base import map_batches, plus, read_table, slices, texts_of, tokenizer_path
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: White space in the sense of Unicode's White_Space, which is what the pattern's \s means.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A match that ends closer than this to the end of a chunk might end elsewhere in the whole text.
 GUARD = 4
+#: Parts of a text that leave a worker at once, and ids that are decoded at once.
+PARTS, DECODED = 32, 1 << 16
 
 
 @functools.lru_cache(maxsize=4)
@@ -84,11 +87,30 @@ def _encode_batches(df: DataFrame, keep: list[str], path: str) -> DataFrame:
     return map_batches(df.select(*keep, "text"), make, schema)
 
 
+def _cut(df: DataFrame, keep: list[str]) -> DataFrame:
+    """keep columns, k and text: the part of each row's text from the k-th of its starts to the k-th of its stops.
+
+    In Python, where a slice doesn't count from the start of the text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in slices(batch, rows=1):
+                text, starts, stops = (row.column(c)[0].as_py() for c in ("text", "starts", "stops"))
+                for first in range(0, len(starts), PARTS):
+                    some = range(first, min(first + PARTS, len(starts)))
+                    same = pa.array(np.zeros(len(some), np.int64))
+                    parts = pa.array([text[starts[k] : stops[k]] for k in some], pa.string())
+                    yield pa.RecordBatch.from_arrays([*(row.column(c).take(same) for c in keep), pa.array(some, pa.int32()), parts], names=[*keep, "k", "text"])
+
+    return df.select(*keep, "text", "starts", "stops").mapInArrow(run, plus(df.select(*keep), "k int, text string"))
+
+
 def _seams(long: DataFrame, chunk_chars: int, overlap: int) -> DataFrame:
     """(doc_id, sha, cuts): the positions where the text of each long document can be cut."""
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk_chars).cast("int"))
-    chunks = long.select("doc_id", "sha", F.length("text").alias("n"), F.explode(starts).alias("k"), "text")
-    chunks = chunks.select("doc_id", "sha", "k", ((F.col("k") + 1) * chunk_chars >= F.col("n")).alias("last"), F.substring("text", F.col("k") * chunk_chars + 1, F.lit(chunk_chars + overlap)).alias("text"))
+    chunks = long.select("doc_id", "sha", "text", F.length("text").alias("n"))
+    chunks = chunks.withColumn("starts", F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk_chars))).withColumn("stops", F.transform("starts", lambda at: at + chunk_chars + overlap))
+    chunks = _cut(chunks, ["doc_id", "sha", "n"]).withColumn("last", (F.col("k") + 1).cast("long") * chunk_chars >= F.col("n")).drop("n")
     spread = chunks.repartition("doc_id", "sha", "k")
 
     def make():
@@ -123,12 +145,6 @@ def _seams(long: DataFrame, chunk_chars: int, overlap: int) -> DataFrame:
     return marks.groupBy("doc_id", "sha").agg(F.array_sort(F.array_distinct(F.collect_list(cut))).alias("cuts"))
 
 
-def _pieces(text: Column, cuts: Column) -> Column:
-    """The parts of text between the cuts, numbered."""
-    edges = F.concat(F.array(F.lit(0)), cuts, F.array(F.length(text)))
-    return F.transform(F.slice(edges, F.lit(1), F.size(edges) - 1), lambda at, i: F.struct(i.alias("i"), F.substring(text, at + 1, F.element_at(edges, i + 2) - at).alias("text")))
-
-
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, chunk_chars: int = 1 << 15, overlap: int = 1 << 10) -> DataFrame:
     """(doc_id, ids): the ids of each whole text as unsigned 32-bit little-endian integers."""
     path = ranks_path or tokenizer_path(RANKS)
@@ -138,10 +154,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_
     long = docs.filter(F.length("text") > chunk_chars).withColumn("sha", F.sha2("text", 256)).groupBy("doc_id", "sha").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     seams = _seams(long, chunk_chars, overlap).withColumnsRenamed({"doc_id": "seam_id", "sha": "seam_sha"})
     joined = long.join(seams, F.col("doc_id").eqNullSafe(F.col("seam_id")) & (F.col("sha") == F.col("seam_sha")))
-    pieces = joined.select("doc_id", "sha", "copies", F.explode(_pieces(F.col("text"), F.col("cuts"))).alias("piece")).select("doc_id", "sha", "copies", "piece.i", "piece.text")
-    coded = _encode_batches(pieces.repartition("doc_id", "sha", "i"), ["doc_id", "sha", "copies", "i"], path)
-    whole = coded.groupBy("doc_id", "sha", "copies").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts"))
-    ids = F.aggregate("parts", F.lit(b""), lambda done, part: F.concat(done, part["ids"]))
+    edges = joined.withColumn("starts", F.concat(F.array(F.lit(0)), "cuts")).withColumn("stops", F.concat("cuts", F.array(F.length("text"))))
+    pieces = _cut(edges, ["doc_id", "sha", "copies"])
+    coded = _encode_batches(pieces.repartition("doc_id", "sha", "k"), ["doc_id", "sha", "copies", "k"], path)
+    whole = coded.groupBy("doc_id", "sha", "copies").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    # To concatenate binaries one by one would copy all that is there for each piece; joining texts copies once.
+    ids = F.unhex(F.array_join(F.transform("parts", lambda part: F.hex(part["ids"])), ""))
     long_ids = whole.select("doc_id", ids.alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
     return short.unionByName(long_ids)
 
@@ -172,7 +190,10 @@ def digests(coded: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 ids = np.frombuffer(blob, "<u4")
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(blob).hexdigest())
-                sha.append(hashlib.sha256(decode_ids(ids.tolist(), path)).hexdigest())
+                content = hashlib.sha256()
+                for at in range(0, len(ids), DECODED):
+                    content.update(decode_ids(ids[at : at + DECODED].tolist(), path))
+                sha.append(content.hexdigest())
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return one
