@@ -285,7 +285,8 @@ def _merged(blocks: DataFrame, parts: int, part_of, finish) -> DataFrame:
                 counts.append(np.frombuffer(c, "<u4").astype(np.int64))
         yield from done()
 
-    return blocks.repartition(max(1, parts), "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(run, BLOCKS)
+    # By number and not by hash, which would give several ranges to one task and none to others.
+    return blocks.repartitionById(max(1, parts), F.col("part")).sortWithinPartitions("kind", "part").mapInArrow(run, BLOCKS)
 
 
 def _cut(part_of, step: int):
