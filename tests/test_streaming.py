@@ -42,14 +42,15 @@ def plain(value):
     return tuple(map(plain, value)) if isinstance(value, (list, tuple)) else value
 
 
-def test_all_features_as_in_batch(spark, stream, tmp_path):
+@pytest.mark.parametrize("delay_ms", [None, 864_000_000_000])
+def test_all_features_as_in_batch(spark, stream, tmp_path, delay_ms):
     df, rows = stream
     app = FeatureApp("app001")
     for text in TEXTS.values():
         app.add_feature(text)
     names = dict(zip(app.list(), TEXTS))
     want = app.compute(rows, names).select("event_id", *TEXTS).collect()
-    got = drained(spark, stream_features(df, ["user_id", "application"], [StreamFeature.of(n, t) for n, t in TEXTS.items()]), tmp_path)
+    got = drained(spark, stream_features(df, ["user_id", "application"], [StreamFeature.of(n, t) for n, t in TEXTS.items()], delay_ms=delay_ms), tmp_path)
     assert Counter(plain(tuple(r)) for r in got) == Counter(plain(tuple(r)) for r in want)
 
 
@@ -60,6 +61,29 @@ def test_alarms_as_in_batch(spark, stream, tmp_path):
     assert want.count() and Counter(map(tuple, got)) == Counter(map(tuple, want.select("user_id", "at_ms", "event_id", "value").collect()))
 
 
+DAY = 86_400_000
+SILENT = {"features": lambda df: stream_features(df, ["user_id"], [StreamFeature.of("n", f"COUNT(2d, {ALL}, user_id)"), StreamFeature.of("total", f"SUM(1d, {ALL}, amount, user_id)")], delay_ms=DAY), "alarms": lambda df: stream_alarms(df, "user_id", "c_timestamp", "event_id", "amount", 5.0, DAY, DAY)}
+
+
+@pytest.mark.parametrize("kind", SILENT)
+def test_state_of_silent_keys_goes_and_late_events_are_dropped(spark, tmp_path, kind):
+    """Key 1 falls silent; key 2 comes ten days later, then an event within the delay, and one of key 1 beyond it."""
+    schema = "event_id long, c_timestamp long, event_type string, user_id long, amount double"
+    files = [[(1, 20 * DAY, 1, 10.0), (2, 20 * DAY + 5, 1, 20.0)], [(3, 30 * DAY, 2, 30.0)], [(4, 30 * DAY - 1000, 3, 40.0), (5, 20 * DAY + 9, 1, 50.0)], [(6, 30 * DAY + 500, 2, 70.0)]]
+    for rows in files:
+        spark.createDataFrame([(i, t, "click", u, a) for i, t, u, a in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df = SILENT[kind](connectors.read_stream(spark, "parquet", str(tmp_path / "in"), schema, maxFilesPerTrigger="1"))
+    query = df.writeStream.format("memory").queryName("out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.exception() is None
+    got = {tuple(r) for r in spark.table("out").collect()}
+    if kind == "features":
+        assert got == {(1, 1.0, 10.0), (2, 2.0, 30.0), (3, 1.0, 30.0), (4, 1.0, 40.0), (6, 2.0, 100.0)}
+    else:
+        assert got == {(1, 20 * DAY + 5, 2, 20.0), (2, 30 * DAY + 500, 6, 70.0)}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2  # keys 2 and 3
+
+
 def test_windows_close_behind_the_watermark(spark, stream, tmp_path):
     df, rows = stream
     count = F.count("*").alias("n")
