@@ -1,4 +1,5 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -6,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyarrow import fs
 
 from tidewater.llm import language_model as lm
 from tidewater.llm.base import scratch_path, texts_of
@@ -119,3 +121,54 @@ def test_tokens_like_words():
 def test_folders_that_hadoop_names():
     system, path = lm._system("s3a://key:secret@bucket/folder?region=us-east-1")
     assert system.type_name == "s3" and path == "bucket/folder"
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_open_files_do_not_grow_with_the_number_of_shards(tmp_path, monkeypatch, mounted):
+    """A map holds a file descriptor: at four files a range the usual limit of 1024 was met at about 6 GB of input."""
+    for i in range(700):
+        lm._put(str(tmp_path), f"words-{i}", np.arange(i, dtype="<u8"))
+    if not mounted:
+        monkeypatch.setattr(lm, "_system", lambda uri: (fs.SubTreeFileSystem(uri, fs.LocalFileSystem()), ""))
+    before = len(os.listdir("/proc/self/fd"))
+    for _ in range(2):
+        for i in range(700):
+            assert np.array_equal(lm._mapped(str(tmp_path), f"words-{i}").view("<u8"), np.arange(i))
+    assert len(os.listdir("/proc/self/fd")) - before < 300
+    if not mounted:  # copied once, though mapped again
+        for i in range(700):
+            os.remove(tmp_path / f"words-{i}")
+        assert np.array_equal(lm._mapped(str(tmp_path), "words-3").view("<u8"), np.arange(3))
+
+
+def test_mapped_bytes_are_bounded(tmp_path):
+    for i in range(20):
+        lm._put(str(tmp_path), f"pairs-{i}", np.full(2 << 20, i, "<u8"))
+    for i in range(20):
+        assert lm._mapped(str(tmp_path), f"pairs-{i}").view("<u8")[-1] == i
+    with open("/proc/self/maps") as maps:
+        held = {line.split()[-1] for line in maps if str(tmp_path) in line}
+    assert 0 < len(held) <= 8
+
+
+def test_scores_while_few_files_are_mapped(spark, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE_BYTES", 500)
+    rows = spark.createDataFrame([(i, " ".join(f"the w{(i * j) % 97}" for j in range(30))) for i in range(60)], "doc_id long, text string")
+    model = lm.train(texts_of(rows, "doc_id", "text"), scratch_path(spark, "model"))
+    brute = Brute([r.text for r in rows.collect()])
+    texts = ["the w3 w5 the the zzz w3", "", "w1 w2"]
+    for files in (1, 2, 5):
+        monkeypatch.setattr(lm, "MAPPED_FILES", files)
+        assert np.allclose(lm.score_batch(model, pa.array(texts))["score"], [brute.score(t)[3] for t in texts])
+
+
+def test_blocks_are_bounded():
+    """Blocks that hold many ranges are cut a bounded number of keys at a time, and none is lost."""
+    keys = np.arange(400_000, dtype="<u8")
+    rows = [((keys + np.uint64(i * len(keys))).tobytes(), np.full(len(keys), i + 1, "<u4").tobytes()) for i in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["words"] * 8), pa.array([0] * 8, pa.int32()), *(pa.array(list(x), pa.binary()) for x in zip(*rows))], names=["kind", "part", "keys", "counts"])
+    got = list(lm._cut(lambda kind, k: (k % np.uint64(2)).astype(np.int64), 1)(iter([batch])))
+    blocks = [(r["part"], np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<u4")) for b in got for r in b.to_pylist()]
+    assert max(len(k) for _, k, _ in blocks) <= 500_000
+    assert all((k % 2 == p).all() and (c == k // 400_000 + 1).all() for p, k, c in blocks)
+    assert np.array_equal(np.sort(np.concatenate([k for _, k, _ in blocks])), np.arange(3_200_000))

@@ -7,7 +7,8 @@ keyed by two ids. The pairs of one word are in one shard, except for words so fr
 pairs are dealt out by hash and their sums added up. A shard is renamed to its name when it is whole, so tasks can be
 run again, and twice at a time.
 
-Scoring: workers map the shards and search them for the sorted keys of a batch. The order is two because the distinct
+Scoring: workers map the shards and search them for the sorted keys of a batch. What is mapped at a time is bounded in
+bytes and files, so that neither grows with the model. The order is two because the distinct
 triples of a corpus are most of its tokens (see the README for figures); shards of triples would not fit the disk.
 
 Probabilities: P(w|u) = max(c(uw) - D(c(uw)), 0) / c(u.) + g(u) P(w), and likewise P(w) from the numbers of distinct
@@ -25,6 +26,7 @@ import functools
 import os
 import re
 import tempfile
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import discard, map_batches, plus, read_table, scratch_path, slices, texts_of
+from .base import discard, map_batches, plus, read_table, scratch_path, slices, small_batches, texts_of
 from .textbytes import words
 
 END, BEGIN = xxhash.xxh3_64_intdigest(b""), xxhash.xxh3_64_intdigest(b"\n")
@@ -47,6 +49,10 @@ UNKNOWN = np.uint64(0xFFFFFFFF)
 MOST = 0xFFFFFFFF
 #: Runs of ranges to which a task sends blocks: beyond as many ranges they are dealt in more than one step.
 FAN = 256
+#: Keys in a block, and in the blocks that are sent or cut at a time, about.
+BLOCK_KEYS, SENT_KEYS = 500_000, 2_000_000
+#: Bytes and files that a worker keeps mapped, and bytes of text that it scores at a time: a file may be mapped anew for each.
+MAPPED_BYTES, MAPPED_FILES, SCORED_BYTES = 96 << 20, 256, 2 << 20
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,15 +108,22 @@ def _small(values: np.ndarray) -> bytes:
     return values.astype("<u4").tobytes()
 
 
-def _blocks(kind: str, parts: np.ndarray, keys: np.ndarray, values: np.ndarray, step: int = 1) -> pa.RecordBatch:
-    """One row for each run of `step` parts, under the first of them, with its keys and values, in the order that they have."""
+def _blocks(kind: str, parts: np.ndarray, keys: np.ndarray, values: np.ndarray, step: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows for each run of `step` parts, under the first of them, with its keys and values, in the order that they have, at most BLOCK_KEYS a row."""
     parts = parts // step * step
     order = np.argsort(parts, kind="stable")
     parts, keys, values = parts[order], keys[order], values[order]
     at, first = np.unique(parts, return_index=True)
     edges = [*first.tolist(), len(parts)]
-    pairs = list(zip(edges, edges[1:]))
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(at, pa.int32()), pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([_small(values[a:b]) for a, b in pairs], pa.binary())], names=["kind", "part", "keys", "counts"])
+    rows = [(p, a, min(a + BLOCK_KEYS, end)) for p, start, end in zip(at.tolist(), edges, edges[1:]) for a in range(start, end, BLOCK_KEYS)]
+    i = 0
+    while i < len(rows):
+        j = i + 1
+        while j < len(rows) and rows[j][2] - rows[i][1] <= SENT_KEYS:
+            j += 1
+        own = rows[i:j]
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own)), pa.array([p for p, _, _ in own], pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in own], pa.binary()), pa.array([_small(values[a:b]) for _, a, b in own], pa.binary())], names=["kind", "part", "keys", "counts"])
+        i = j
 
 
 BLOCKS = "kind string, part int, keys binary, counts binary"
@@ -119,6 +132,7 @@ BLOCKS = "kind string, part int, keys binary, counts binary"
 # Files of the shared folder
 
 
+@functools.lru_cache(maxsize=4)
 def _system(uri: str) -> tuple[fs.FileSystem, str]:
     """Arrow's file system for a folder that Hadoop's names, too: s3a and s3n are s3 to it."""
     uri = re.sub("^s3[an]:", "s3:", uri)
@@ -136,19 +150,55 @@ def _put(folder: str, name: str, *arrays: np.ndarray) -> None:
     system.move(part, f"{path}/{name}")
 
 
-@functools.lru_cache(maxsize=4096)
-def _mapped(folder: str, name: str) -> np.ndarray:
-    """The bytes of a file, memory-mapped. Files of a folder that isn't mounted are read into ones without a name, which go with the worker."""
+@functools.lru_cache(maxsize=2)
+def _copies(folder: str) -> tuple:
+    """A file without a name for copies of the files of a folder, which goes with the worker, and where each copy is in it."""
+    return tempfile.TemporaryFile(prefix="tidewater-"), {}
+
+
+def _map(folder: str, name: str) -> np.ndarray:
+    """The bytes of a file, memory-mapped. Those of a folder that isn't mounted are copied at first."""
     system, path = _system(folder)
-    if not isinstance(system, fs.LocalFileSystem):
-        held = tempfile.NamedTemporaryFile(prefix="tidewater-")
+    if isinstance(system, fs.LocalFileSystem):
+        path = f"{path}/{name}"
+        return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+    held, places = _copies(folder)
+    if name not in places:
+        start = -(-held.seek(0, os.SEEK_END) // 4096) * 4096
+        held.seek(start)
         with system.open_input_stream(f"{path}/{name}") as stream:
             while block := stream.read(1 << 22):
                 held.write(block)
+        places[name] = start, held.tell() - start
         held.flush()
-        return np.memmap(held.name, np.uint8, "r") if os.path.getsize(held.name) else np.zeros(0, np.uint8)
-    path = f"{path}/{name}"
-    return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+    start, size = places[name]
+    return np.memmap(held, np.uint8, "r", start, (size,)) if size else np.zeros(0, np.uint8)
+
+
+class Maps:
+    """The mapped files of a worker. Those used last stay, MAPPED_BYTES and MAPPED_FILES at most: each holds a file descriptor, and its pages count as memory."""
+
+    def __init__(self):
+        self.held: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
+        self.size = 0
+
+    def get(self, folder: str, name: str) -> np.ndarray:
+        key = (folder, name)
+        if key in self.held:
+            self.held.move_to_end(key)
+            return self.held[key]
+        found = self.held[key] = _map(folder, name)
+        self.size += len(found)
+        while len(self.held) > 1 and (self.size > MAPPED_BYTES or len(self.held) > MAPPED_FILES):
+            self.size -= len(self.held.popitem(last=False)[1])
+        return found
+
+
+_maps = Maps()
+
+
+def _mapped(folder: str, name: str) -> np.ndarray:
+    return _maps.get(folder, name)
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,13 +341,23 @@ def _merged(blocks: DataFrame, parts: int, part_of, finish) -> DataFrame:
 
 def _cut(part_of, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for kind, found in held.items():
+                keys, counts = (np.concatenate(x) for x in zip(*found))
+                yield from _blocks(kind, part_of(kind, keys), keys, counts, step)
+            held.clear()
+
         for batch in batches:
-            held: dict[str, list] = {}
             for kind, k, c in zip(*(batch.column(i).to_pylist() for i in ("kind", "keys", "counts"))):
                 held.setdefault(kind, []).append((np.frombuffer(k, "<u8"), np.frombuffer(c, "<u4")))
-            for kind, found in held.items():
-                keys, counts = (np.concatenate(x) for x in zip(*found))
-                yield _blocks(kind, part_of(kind, keys), keys, counts, step)
+                size += len(k) // 8
+                if size >= SENT_KEYS:
+                    yield from done()
+                    size = 0
+        yield from done()
 
     return run
 
@@ -309,6 +369,11 @@ def _numbers(kind: str, part: int, values: np.ndarray) -> pa.RecordBatch:
 
 def train(docs: DataFrame, folder: str) -> Model:
     """Counts (doc_id, text) into shards below folder."""
+    with small_batches(docs.sparkSession):
+        return _train(docs, folder)
+
+
+def _train(docs: DataFrame, folder: str) -> Model:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // RANGE_BYTES))
     model = Model(folder, np.zeros(parts + 1, np.int64), wide=np.zeros(0, np.int64))
@@ -324,7 +389,7 @@ def train(docs: DataFrame, folder: str) -> Model:
     def word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             keys, counts = tally.take()
             keys, counts = reduced(np.append(keys, np.uint64(BEGIN)), np.append(counts, 0))
             return _blocks("words", part_of("words", keys), keys, counts, step)
@@ -332,8 +397,8 @@ def train(docs: DataFrame, folder: str) -> Model:
         for batch in batches:
             for piece in slices(batch, "text"):
                 if tally.add(tokens(piece.column("text"))[0]):
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
     limit = max(1, size // (6 * 4 * parts))  # a quarter of what a range has of tokens, about
 
@@ -356,15 +421,15 @@ def train(docs: DataFrame, folder: str) -> Model:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             keys, counts = tally.take()
             return _blocks("pairs", part_of("pairs", keys), keys, counts, step)
 
         for batch in batches:
             for piece in slices(batch, "text"):
                 if tally.add(pair_keys(model, *tokens(piece.column("text")))[0]):
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
     def put_pairs(kind: str, part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if (large := counts >= MOST).any():
@@ -372,7 +437,7 @@ def train(docs: DataFrame, folder: str) -> Model:
         _put(folder, f"pairs-{part}", keys.astype("<u8"), np.minimum(counts, MOST).astype("<u4"))
         yield _numbers("pair-counts", part, [len(keys), *_count_of_counts(counts)])
         after, n = np.unique(keys & UNKNOWN, return_counts=True)
-        yield _blocks("before", part_of("before", after), after, n, step)
+        yield from _blocks("before", part_of("before", after), after, n, step)
         if not len(keys):
             return
         # Sums of each first word: of its counts, and how many are 1, 2, and 3 or more; the key has which sum in its low bits.
@@ -381,9 +446,9 @@ def train(docs: DataFrame, folder: str) -> Model:
             sums = np.add.reduceat(values.astype(np.int64), at)
             own = first << np.uint64(2) | np.uint64(which)
             while len(big := np.flatnonzero(sums > MOST)):  # in steps that 32 bits can hold
-                yield _blocks("sums", part_of("sums", own[big]), own[big], np.full(len(big), MOST), step)
+                yield from _blocks("sums", part_of("sums", own[big]), own[big], np.full(len(big), MOST), step)
                 sums[big] -= MOST
-            yield _blocks("sums", part_of("sums", own), own, sums, step)
+            yield from _blocks("sums", part_of("sums", own), own, sums, step)
 
     def put_sums(kind: str, part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if kind == "pair-counts":
@@ -479,7 +544,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return one
 
     schema = plus(docs.select("doc_id", "held_out"), "n_tokens long, n_known long, base_score double, score double")
-    return map_batches(docs, make, schema, 512, "text").withColumn("train_tokens", F.lit(model.total).cast("long"))
+    return map_batches(docs, make, schema, 2048, "text", SCORED_BYTES).withColumn("train_tokens", F.lit(model.total).cast("long"))
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
