@@ -191,3 +191,16 @@ def test_messages(spark):
     assert (r.key, r.value, r.topic, r.headers[0].key, bytes(r.headers[0].value)) == ("1", '{"id":1,"kind":"x"}', "out", "kind", b"x")
     assert connectors.kafka_options("h:1", "t", "g", True)["startingOffsets"] == "earliest"
     assert connectors.generated(spark, "word", 5, rate=3).isStreaming
+
+
+def test_sets_ask_for_all_of_the_same_millisecond(spark):
+    """Four users of one device at once: each event reads all of them, whatever the order of their numbers."""
+    h = 3_600_000
+    df = spark.createDataFrame([(i, 10 * h, "t", f"u{i}", "d") for i in range(4)] + [(4, 11 * h, "t", "u0", "e"), (5, 7 * h, "t", "u0", "d"), (6, 11 * h, "t", "u9", None)], "event_id long, c_timestamp long, event_type string, user_id string, device_id string").withColumns({"application": F.lit("a"), "amount": F.expr("if(event_id = 5, 1e16, event_id)")})
+    members = "SET(6h, t, device_id, user_id)"
+    assert value(f"FLAT_COUNT(1d, t, {members})", df) == [5.0, 5.0, 5.0, 5.0, 6.0, 1.0, 0.0]
+    assert value(f"FLAT_SUM(3h, t, amount, {members})", df) == [6.0, 6.0, 6.0, 6.0, 10.0, 1e16, 0.0]
+    assert value(f"FLAT_COUNT_DISTINCT(1h, t, user_id, {members})", df) == [4, 4, 4, 4, 1, 1, 0]
+    assert value(f"FLAT_SET(2h, t, user_id, {members})", df) == [["u0", "u1", "u2", "u3"]] * 5 + [["u0"], []]
+    assert value(f"FLAT_SET(2h, t, user_id, {members})", df.withColumn("event_type", F.expr("if(event_id = 3, 'x', 't')")))[3] is None
+    assert value(f"FLAT_SUM(3h, t, amount, {members}, user_id)", df) == [0.0, 1.0, 2.0, 3.0, 4.0, 1e16, 0.0]

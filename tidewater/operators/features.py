@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows
 from ..functions.histogram import histogram_window, quantile_column
+from ..functions.hops import hop_window
 from ..functions.scalar import SCALARS, number, scalar
 from ..plans.planner import GET, UPGET, Feature, declare, fused, layers
 from ..plans.syntax import Call, FeatureError, Field, Macros, parse_macro
@@ -23,6 +24,8 @@ from ..plans.syntax import Call, FeatureError, Field, Macros, parse_macro
 ALL = "___ALL___"
 SETS = ("SET", "FLAT_SET")
 FLAT = ("FLAT_COUNT", "FLAT_COUNT_DISTINCT", "FLAT_SET", "FLAT_SUM")
+#: Parts of a window that a slice of time is, where sets ask.
+FLAT_PARTS = 2
 TEMPORAL = ("COUNT", "SUM", "AVG", "MAX", "MIN", "VARIANCE", "DIFF", "COUNT_DISTINCT", "SET", "HIST")
 
 
@@ -196,7 +199,7 @@ class _Compiler:
         return out.withColumn(name, self.guard(F.col("__match"), mode, name)).drop("__match", "__v", *keys)
 
     def flat(self, df: DataFrame, call: Call, mode: str, name: str) -> DataFrame:
-        """Members of the set ask, in place of the field that the set is of; an event's answers are put together again."""
+        """An event asks for the members of its set, in place of the field that the set is of."""
         counted = call.op == "FLAT_COUNT"
         w, match, rest = self.start(call, 3 if counted else 4)
         target = None if counted else rest.pop(0)
@@ -205,20 +208,11 @@ class _Compiler:
             raise FeatureError(f"{call.op} takes a SET or FLAT_SET: {call}")
         of = members.args[2]
         base, asks = self.keys(ons, mode)
-        base, asks = [self.value(of, mode).cast("string"), *base], [F.col("__member"), *asks]
-        keys = [f"__k{i}" for i in range(len(base))]
-        value = F.lit(1) if counted else self.value(target, mode)
-        adds = df.filter(match).filter(base[0].isNotNull()).select("__ms", "__seq", *(b.alias(k) for k, b in zip(keys, base)), value.alias("__v"))
-        asking = df.select("*", F.explode(self.value(members, mode)).alias("__member")).select("__ms", F.struct(F.col("__seq.seq").alias("seq"), F.lit(1).alias("asks")).alias("__seq"), *(a.alias(k) for k, a in zip(keys, asks)), F.lit(True).alias("__asking"))
-        inner = {"FLAT_COUNT": "COUNT", "FLAT_SUM": "SUM", "FLAT_SET": "SET", "FLAT_COUNT_DISTINCT": "SET"}[call.op]
-        answers = _aggregate(asking.unionByName(adds, allowMissingColumns=True), inner, keys, w, "__a", 0).filter("__asking")
-        union = F.array_sort(F.array_distinct(F.flatten(F.collect_list("__a"))))
-        put = {"COUNT": F.sum("__a"), "SUM": F.sum("__a"), "SET": union}[inner] if call.op != "FLAT_COUNT_DISTINCT" else F.size(union).cast("long")
-        answers = answers.groupBy(F.col("__seq.seq").alias("__of")).agg(put.alias(name))
-        empty = {"FLAT_COUNT": F.lit(0.0), "FLAT_SUM": F.lit(0.0), "FLAT_SET": F.array().cast("array<string>"), "FLAT_COUNT_DISTINCT": F.lit(0).cast("long")}[call.op]
-        out = df.join(answers, df["__seq.seq"] == answers["__of"], "left").drop("__of")
-        # Without a set there is nothing to read; an empty set reads as nothing found.
-        return out.withColumn(name, F.when(self.value(members, mode).isNotNull(), F.coalesce(name, empty))).withColumn(name, self.guard(match, mode, name))
+        value = F.lit(1) if counted else number(self.value(target, mode)) if call.op == "FLAT_SUM" else self.value(target, mode).cast("string")
+        adds = df.filter(match).select("__ms", self.value(of, mode).cast("string").alias("__member"), value.alias("__v"), *(b.alias(f"__k{i}") for i, b in enumerate(base))).dropna(subset=["__member", "__v"])
+        inner = call.op.removeprefix("FLAT_")
+        out = hop_window(df, adds, (asks, [F.col(f"__k{i}") for i in range(len(base))]), w, inner, name, self.column(members, mode), FLAT_PARTS)
+        return out.withColumn(name, self.guard(match, mode, name))
 
 
 def _aggregate(rows: DataFrame, op: str, keys: list[str], w: windows.Span, name: str, capacity: int) -> DataFrame:
