@@ -204,3 +204,25 @@ def test_sets_ask_for_all_of_the_same_millisecond(spark):
     assert value(f"FLAT_SET(2h, t, user_id, {members})", df) == [["u0", "u1", "u2", "u3"]] * 5 + [["u0"], []]
     assert value(f"FLAT_SET(2h, t, user_id, {members})", df.withColumn("event_type", F.expr("if(event_id = 3, 'x', 't')")))[3] is None
     assert value(f"FLAT_SUM(3h, t, amount, {members}, user_id)", df) == [0.0, 1.0, 2.0, 3.0, 4.0, 1e16, 0.0]
+
+
+def test_histograms_go_through_many_keys_in_one_pass(spark):
+    """Small keys, a large one and null; the same bins as by merging all buckets at each row, and no call for each key."""
+    rng = np.random.default_rng(1)
+    rows = [(i, int(rng.integers(0, 40 * 3_600_000)), "t", None if i % 7 == 0 else f"u{min(int(rng.integers(0, 60)), 25)}", None if i % 11 == 0 else float(rng.integers(0, 30))) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, c_timestamp long, event_type string, user_id string, amount double").withColumn("application", F.lit("a"))
+    app = FeatureApp("app").add_feature("HIST(3h, t, amount, bins=5, user_id)")
+    made = app.compute(df, {app.list()[0]: "h"})
+    got = {r.event_id: [list(b) for b in r.h] for r in made.collect()}
+    want, unit = {}, 3_600_000
+    for key in {r[3] for r in rows}:
+        buckets: dict[int, list] = {}
+        for i, ms, _, _, x in sorted((r for r in rows if r[3] == key), key=lambda r: (r[1], r[0])):
+            b = ms // unit
+            if x is not None:
+                histogram.insert(buckets.setdefault(b, []), x, 1.0, 5)
+            closed = histogram.merged([buckets[k] for k in sorted(buckets) if b - 3 < k < b], 5)
+            want[i] = histogram.merged([closed, buckets.get(b, [])], 5)
+    assert got == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan

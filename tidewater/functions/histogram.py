@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .partitions import ddl, dealt
 from .windows import Span, sliced
 
 BINS = "array<struct<x:double,y:double>>"
+#: Bins, or points of grids by bins, that are held at once.
+HELD = 1 << 20
 
 
 def insert(bins: list[list[float]], x: float, y: float, capacity: int) -> None:
@@ -84,8 +90,12 @@ def quantile_column(bins: Column, precision: int) -> Column:
     def of(x, y):
         out = np.full((len(x), 6), np.nan)
         some = np.array([i for i, v in enumerate(x) if v is not None and len(v)], np.int64)
-        for k in range(0, len(some), 1024):
-            part = some[k : k + 1024]
+        k = 0
+        while k < len(some):
+            # As many as have HELD points of grids by bins together, if each has as many bins as the largest.
+            most = np.maximum.accumulate([len(x.iloc[i]) for i in some[k : k + 1024]])
+            part = some[k : k + max(1, int((most * precision * np.arange(1, len(most) + 1) <= HELD).sum()))]
+            k += len(part)
             out[part] = quantile_rows([np.asarray(x.iloc[i], float) for i in part], [np.asarray(y.iloc[i], float) for i in part], precision)
         return pd.DataFrame(out, columns=names)
 
@@ -94,30 +104,87 @@ def quantile_column(bins: Column, precision: int) -> Column:
 
 
 def histogram_window(rows: DataFrame, keys: list[str], w: Span, value: Column, capacity: int, name: str) -> DataFrame:
-    """The histogram of the bucket window of each row. One group is a key's rows in a slice of time, not all of its rows."""
-    spread, own = sliced(rows, w)
-    spread = spread.withColumn("__own", own).withColumns({"__in": value.cast("double"), "__first": F.col("__seq.seq"), "__then": F.col("__seq.asks")})
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["__ms", "__first", "__then"], kind="stable")
-        buckets: dict[int, list] = {}
-        out, now, closed = [], None, []
-        for ms, x in zip(group["__ms"], group["__in"]):
-            b = ms // w.unit
-            if b != now:
-                # Earlier buckets don't change any more: they are merged once.
-                buckets = {k: v for k, v in buckets.items() if k > b - w.n}
-                now, closed = b, merged([buckets[k] for k in sorted(buckets)], capacity)
-            if not pd.isna(x):
-                insert(buckets.setdefault(b, []), x, 1.0, capacity)
-            out.append([{"x": x, "y": y} for x, y in merged([closed, buckets.get(b, [])], capacity)])
-        group[name] = out
-        return group[group["__own"]].drop(columns=["__own", "__in", "__slice", "__first", "__then"])
-
-    return spread.groupBy(*keys, "__slice").applyInPandas(run, f"{schema_ddl(rows)}, `{name}` {BINS}")
-
-
-def schema_ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-
+    """The histogram of the bucket window of each row.
 
+    A task goes through its rows in the order of keys, slice of time and time, and holds the bins of the last buckets of one
+    key only, and up to HELD bins of answers: many small keys share a batch, and a large one isn't held.
+    """
+    out = rows.columns
+    spread, own = sliced(rows, w)
+    spread = spread.withColumns({"__own": own, "__in": value.cast("double"), "__first": F.col("__seq.seq"), "__then": F.col("__seq.asks")})
+    group = [*keys, "__slice"]
+    spread = dealt(spread, group, ["__ms", "__first", "__then"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, _Bins(w, capacity)
+        for batch in batches:
+            new, last = _turns(batch, group, last)
+            ms, x, own = batch.column("__ms").to_numpy(), pc.fill_null(batch.column("__in"), np.nan).to_numpy(), batch.column("__own").to_numpy(zero_copy_only=False)
+            xs, ys, ends, kept = [], [], [0], []
+            for i, (turn, t, v, mine) in enumerate(zip(new.tolist(), ms.tolist(), x.tolist(), own.tolist())):
+                if turn:
+                    state = _Bins(w, capacity)
+                bins = state.add(t, v)
+                if not mine:
+                    continue
+                for b in bins:
+                    xs.append(b[0])
+                    ys.append(b[1])
+                ends.append(len(xs))
+                kept.append(i)
+                if len(xs) > HELD:
+                    yield _with(batch, out, kept, xs, ys, ends, name)
+                    xs, ys, ends, kept = [], [], [0], []
+            if kept:
+                yield _with(batch, out, kept, xs, ys, ends, name)
+
+    return spread.mapInArrow(run, f"{ddl(rows)}, `{name}` {BINS}")
+
+
+def _turns(batch: pa.RecordBatch, group: list[str], last: list | None) -> tuple[np.ndarray, list]:
+    """Which rows begin a group, after a row of the given group; and the last row's group."""
+    new = np.zeros(len(batch), bool)
+    for column in group:
+        c = batch.column(column)
+        a, b = c.slice(1), c.slice(0, len(c) - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null()))
+        new[1:] |= ~same.to_numpy(zero_copy_only=False)
+    of = [[batch.column(c)[i].as_py() for c in group] for i in (0, len(batch) - 1)]
+    new[0] = of[0] != last
+    return new, of[1]
+
+
+def _with(batch: pa.RecordBatch, out: list[str], kept: list[int], xs: list[float], ys: list[float], ends: list[int], name: str) -> pa.RecordBatch:
+    part = batch.select(out).take(pa.array(kept))
+    bins = pa.StructArray.from_arrays([pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], ["x", "y"])
+    return pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), bins)], [*out, name])
+
+
+class _Bins:
+    """The bins of one key's buckets, as far as a window reaches; rows come in the order of time."""
+
+    def __init__(self, w: Span, capacity: int):
+        self.w, self.capacity = w, capacity
+        self.buckets: dict[int, list] = {}
+        self.now: int | None = None
+        self.closed: list[list[float]] = []
+        #: The window's bins, as long as nothing has had to be merged in it.
+        self.whole: list[list[float]] | None = []
+
+    def add(self, ms: int, x: float) -> list[list[float]]:
+        b = ms // self.w.unit
+        if b != self.now:
+            # Earlier buckets don't change any more: they are merged once.
+            self.buckets = {k: v for k, v in self.buckets.items() if k > b - self.w.n}
+            self.now, self.closed = b, merged([self.buckets[k] for k in sorted(self.buckets)], self.capacity)
+            self.whole = [list(c) for c in self.closed]
+        if x == x:
+            insert(self.buckets.setdefault(b, []), x, 1.0, self.capacity)
+            if self.whole is not None:
+                # Distinct values that all have a bin are the same in any order.
+                self.whole = None if len(self.whole) >= self.capacity else self.whole
+                if self.whole is not None:
+                    insert(self.whole, x, 1.0, self.capacity)
+        if self.whole is not None:
+            return self.whole
+        return merged([self.closed, self.buckets.get(b, [])], self.capacity)
