@@ -226,3 +226,15 @@ def test_histograms_go_through_many_keys_in_one_pass(spark):
     assert got == want
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_a_fixed_key_is_dealt_by_time(spark):
+    """All rows ask for one key: they don't go to one task for it, and rows of other keys don't go along."""
+    h = 3_600_000
+    df = spark.range(400).selectExpr("id AS event_id", f"id * {h // 10} AS c_timestamp", "'t' AS event_type", "CAST(id % 9 AS STRING) AS user_id", "CAST(id AS DOUBLE) AS amount", "'a' AS application")
+    df = df.unionByName(df.filter("event_id = 7").selectExpr("400L AS event_id", "CAST(NULL AS BIGINT) AS c_timestamp", "event_type", "user_id", "amount", "application"))
+    text = "SUM(10h, t, amount, user_id=7)"
+    assert value(text, df) == [float(sum(j for j in range(max(0, i - 99), i + 1) if j % 9 == 7)) for i in range(400)] + [0.0]
+    app = FeatureApp("app").add_feature(text)
+    plan = app.compute(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "__slice" in plan

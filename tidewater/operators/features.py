@@ -26,6 +26,8 @@ SETS = ("SET", "FLAT_SET")
 FLAT = ("FLAT_COUNT", "FLAT_COUNT_DISTINCT", "FLAT_SET", "FLAT_SUM")
 #: Parts of a window that a slice of time is, where sets ask.
 FLAT_PARTS = 2
+#: The same where a key is fixed: more events ask, and few contribute.
+FIXED_PARTS = 8
 TEMPORAL = ("COUNT", "SUM", "AVG", "MAX", "MIN", "VARIANCE", "DIFF", "COUNT_DISTINCT", "SET", "HIST")
 
 
@@ -181,6 +183,8 @@ class _Compiler:
         value = self.value(target, mode)
         base, asks = self.keys([*([target] if call.op == "COUNT" else []), *ons], mode)
         plain = all(a is b for a, b in zip(base, asks))
+        if call.op == "SUM" and not plain:
+            return self.fixed_sum(df, match, value, base, asks, w, mode, name)
         keys = [f"__k{i}" for i in range(len(base))]
         given = F.when(match, value)
         df = df.withColumn("__match", match)
@@ -198,6 +202,15 @@ class _Compiler:
             out = out.withColumn(name, F.when(null_count, 0.0).otherwise(F.col(name)))
         return out.withColumn(name, self.guard(F.col("__match"), mode, name)).drop("__match", "__v", *keys)
 
+    def fixed_sum(self, df: DataFrame, match: Column, value: Column, base: list[Column], asks: list[Column], w: windows.Span, mode: str, name: str) -> DataFrame:
+        """All events ask for one key, so they go to slices of time and not to the key; only what has the key contributes."""
+        keys = [F.col(f"__k{i}") for i in range(len(base))]
+        adds = df.filter(match).select("__ms", F.lit("").alias("__member"), number(value).alias("__v"), *(b.alias(f"__k{i}") for i, b in enumerate(base)))
+        for k, a, b in zip(keys, asks, base):
+            adds = adds if a is b else adds.filter(k == a)
+        out = hop_window(df, adds.filter("__v IS NOT NULL"), (asks, keys), w, "SUM", name, None, FIXED_PARTS)
+        return out.withColumn(name, self.guard(match, mode, name))
+
     def flat(self, df: DataFrame, call: Call, mode: str, name: str) -> DataFrame:
         """An event asks for the members of its set, in place of the field that the set is of."""
         counted = call.op == "FLAT_COUNT"
